@@ -7,11 +7,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelake.llm import byte_bpe, common, quality_rules
+from tidelake.llm import byte_bpe, common, decontaminate, line_dedup, near_dedup, quality_rules
 
 #: (name, function of (spark, docs, sf_dir)); all but the last return the columns of documents.
 STAGES = [
     ("quality_rules", quality_rules.stage),
+    ("line_dedup", line_dedup.stage),
+    ("near_dedup", near_dedup.stage),
+    ("decontaminate", decontaminate.stage),
     ("byte_bpe", byte_bpe.stage),
 ]
 
