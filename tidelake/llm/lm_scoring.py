@@ -36,7 +36,7 @@ from tidelake.llm.common import byte_texts, sliced, table, written
 CLASSES = 1023
 DIMENSIONS = 16
 NOISE = 32
-BATCH = 8192
+BATCH = 2048
 RATE = 0.1
 ROUNDS = 1
 MIXERS = 16
