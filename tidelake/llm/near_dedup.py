@@ -8,12 +8,13 @@ Accurate Minwise Hashing", 2017). Sets that aren't much larger than the number o
 few values, so they take as many independent permutations of which each is cheap for a small set; both kinds of
 signature are made for sets between the two regimes, so that every pair that can be linked shares a kind.
 
-Bands of ``ROWS`` values make buckets. In a bucket of up to ``FEW`` nodes all pairs are candidates; in a larger one only
-the star around its least node, so that candidates grow in proportion to the bucket. Candidates whose signatures agree
-too little (``LEAST_AGREEING``) can't be linked but with a chance of about 1e-12, the rest is confirmed on the full sets.
-A large bucket whose nodes end up in several components is gone through again: its nodes outside the main component
-become centres in turn, each compared with all nodes of other components, until every such node has been compared with
-all others. So no link between different components is lost, and nothing is spent where a component is one already.
+Bands of ``ROWS`` values make buckets. In a bucket of up to ``FEW`` nodes all pairs are candidates; in a larger one the
+star around the node with the most copies, so that candidates grow in proportion to the bucket. Candidates whose
+signatures agree too little (``LEAST_AGREEING``) can't be linked but with a chance of about 1e-12, the rest is confirmed
+on the full sets. A larger bucket whose nodes are then still in several components is gone through again, in blocks of
+at most ``BLOCK`` nodes: nodes of different components are compared by signature and confirmed on the full sets right
+there, each pair in the first bucket that it shares, and a link leaves the task only if it joins two components. So no
+link between components is lost, and nothing is spent where a bucket is one component already.
 
 With similarity 0.8, a pair misses all bands with a probability of (1 - 0.8**5)**40 = 1.2e-7.
 
@@ -39,10 +40,13 @@ BANDS, ROWS = 40, 5
 BINS = BANDS * ROWS
 SMALL = 2 * BINS
 FEW = 6
-#: Of BINS signature bytes; 0.8 of them agree on average, 0.5 is over ten standard deviations less.
-LEAST_AGREEING = BINS // 2
-#: Pairs up to which their nodes are sent to the texts, beyond which texts are dealt out to their nodes.
-SMALL_PAIRS = 100_000
+#: Of BINS signature bytes; 0.8 of them agree on average, 0.6 is seven standard deviations less.
+LEAST_AGREEING = BINS * 6 // 10
+#: Nodes of a bucket that one task holds twice at most.
+BLOCK = 1024
+_PART = BINS + 4 * BANDS  # bytes of a kind in a mark
+#: Nodes up to which their keys are sent to the texts, beyond which texts are dealt out to the nodes.
+SMALL_NODES = 200_000
 
 
 class Signer:
@@ -113,14 +117,11 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                             continue
                         nodes.append(xxhash.xxh3_128_digest(found.tobytes()))
                         own, mark = [], b""
-                        if n < SMALL * 5 // 4:
-                            values = signer.by_permutations(found)
-                            own.append(signer.keys(values, 1))
-                            mark = mixed(values).astype(np.uint8).tobytes()
-                        if n >= SMALL:
-                            values = signer.by_bins(found)
-                            own.append(signer.keys(values, 2))
-                            mark += mixed(values).astype(np.uint8).tobytes()
+                        for kind, applies, sign in ((1, n < SMALL * 5 // 4, signer.by_permutations), (2, n >= SMALL, signer.by_bins)):
+                            if applies:
+                                values = sign(found)
+                                own.append(signer.keys(values, kind))
+                                mark += mixed(values).astype(np.uint8).tobytes() + own[-1].astype(np.uint32).tobytes()
                         keys.append(np.concatenate(own))
                         marks.append(struct.pack("<i", n) + mark)
                 yield pa.RecordBatch.from_arrays(
@@ -131,18 +132,44 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, row_key long, node binary, n_shingles long, keys array<long>, mark binary")
 
 
+def _size(mark: bytes) -> int:
+    return int.from_bytes(mark[:4], "little")
+
+
+def _kind(mark: bytes, kind: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Signature bytes and bucket keys (32 bits) of a kind; a mark holds the size, then the kinds that it has."""
+    n = _size(mark)
+    if kind == 1:
+        at = 4 if n < SMALL * 5 // 4 else None
+    else:
+        at = len(mark) - _PART if n >= SMALL else None
+    return None if at is None else (np.frombuffer(mark, np.uint8, BINS, at), np.frombuffer(mark[at + BINS : at + _PART], np.uint32))
+
+
 def _may_link(a: bytes, b: bytes) -> bool:
-    """Whether sizes and signatures leave a link possible; the marks hold the size, then the bytes of each kind."""
-    n, m = int.from_bytes(a[:4], "little"), int.from_bytes(b[:4], "little")
+    """Whether sizes and signatures leave a link possible."""
+    n, m = _size(a), _size(b)
     if 100 * min(n, m) < PERCENT * max(n, m):
         return False
-    x, y = np.frombuffer(a, np.uint8, -1, 4), np.frombuffer(b, np.uint8, -1, 4)
-    best = 0
-    if min(n, m) < SMALL and max(n, m) < SMALL * 5 // 4:
-        best = int((x[:BINS] == y[:BINS]).sum())
-    if min(n, m) >= SMALL:
-        best = max(best, int((x[-BINS:] == y[-BINS:]).sum()))
-    return best >= LEAST_AGREEING
+    for kind in (1, 2):
+        x, y = _kind(a, kind), _kind(b, kind)
+        if x and y and int((x[0] == y[0]).sum()) >= LEAST_AGREEING:
+            return True
+    return False
+
+
+def _similar(a: np.ndarray, b: np.ndarray) -> bool:
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * shared >= PERCENT * (len(a) + len(b) - shared)
+
+
+def texts_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text) of the nodes asked for, each once."""
+    keys = written(wanted.join(nodes.select("node", "row_key"), "node"))
+    rows = docs.select(F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("row_key"), F.col("text").cast("string").alias("text"))
+    if keys.count() <= SMALL_NODES:  # a checked bound of a few MB, so that no text moves but those asked for
+        keys = F.broadcast(keys)
+    return written(rows.join(keys, "row_key").dropDuplicates(["node"]).select("node", "text"))
 
 
 def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
@@ -159,11 +186,7 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -
 
     both = pairs.join(marks.toDF("u", "mark_u"), "u").join(marks.toDF("v", "mark_v"), "v")
     rest = written(both.mapInArrow(likely, "u binary, v binary"))
-    wanted = rest.select(F.col("u").alias("node")).unionAll(rest.select("v")).distinct().join(nodes.select("node", "row_key"), "node")
-    rows = docs.select(F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("row_key"), F.col("text").cast("string").alias("text"))
-    if rest.count() <= SMALL_PAIRS:  # at most twice as many short rows: a checked bound of a few MB, so that no text moves
-        wanted = F.broadcast(wanted)
-    texts = written(rows.join(wanted, "row_key").dropDuplicates(["node"]).select("node", "text"))
+    texts = texts_of(rest.select(F.col("u").alias("node")).unionAll(rest.select("v")).distinct(), nodes, docs)
     held = rest.join(texts.toDF("u", "text_u"), "u").join(texts.toDF("v", "text_v"), "v").sortWithinPartitions("u")
 
     def similar(batches: Iterator) -> Iterator:
@@ -178,9 +201,7 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -
                     for u, a, b in zip(us, byte_texts(batch.column("text_u")), byte_texts(batch.column("text_v")), strict=True):
                         if u != last:
                             last, own = u, shingle_set(a, words)
-                        other = shingle_set(b, words)
-                        shared = len(np.intersect1d(own, other, assume_unique=True))
-                        keep.append(100 * shared >= PERCENT * (len(own) + len(other) - shared))
+                        keep.append(_similar(own, shingle_set(b, words)))
                 yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return written(held.mapInArrow(similar, "u binary, v binary"))
@@ -191,41 +212,113 @@ def _pairs(members: DataFrame) -> DataFrame:
     few = members.filter(F.col("size") <= FEW).groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("nodes"))  # FEW at most
     at = F.sequence(F.lit(1), F.size("nodes") - 1)
     all_pairs = few.select(F.explode(F.flatten(F.transform(at, lambda i: F.transform(F.slice("nodes", i + 1, F.lit(FEW)), lambda v: F.struct(v.alias("u"), F.element_at("nodes", i).alias("v")))))).alias("p")).select("p.u", "p.v")
-    star = members.filter(F.col("size") > FEW).filter(F.col("node") != F.col("first")).select(F.col("node").alias("u"), F.col("first").alias("v"))
-    return all_pairs.unionAll(star).distinct()
+    star = members.filter(F.col("size") > FEW).filter(F.col("node") != F.col("centre"))
+    return all_pairs.unionAll(star.select(F.greatest("node", "centre").alias("u"), F.least("node", "centre").alias("v"))).distinct()
+
+
+def resolved(key: int, rows: list[tuple], words: int) -> list[tuple[bytes, bytes]]:
+    """Links that join components of one block pair of a bucket. rows: (half, node, component, mark, text)."""
+    names = {c: k for k, c in enumerate(dict.fromkeys(r[2] for r in rows))}
+    if len(names) < 2:
+        return []
+    own = np.array([names[r[2]] for r in rows])
+    parent = list(range(len(names)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    half = np.array([r[0] for r in rows])
+    crossing = half.min() != half.max()
+    low = np.uint32(key & 0xFFFFFFFF)
+    for kind in (1, 2):
+        found = [_kind(r[3], kind) for r in rows]
+        if all(f is not None and low in f[1] for f in found):
+            break
+    marks, keys = np.stack([f[0] for f in found]), np.stack([f[1] for f in found])
+    band = int(np.flatnonzero((keys == low).all(axis=0))[0])
+    sizes = np.array([_size(r[3]) for r in rows])
+    sets: dict[int, np.ndarray] = {}
+
+    def set_of(i: int) -> np.ndarray:
+        if i not in sets:
+            sets[i] = shingle_set(rows[i][4], words)
+        return sets[i]
+
+    main, out = int(np.bincount(own).argmax()), []
+    for i in np.flatnonzero(own != main).tolist():
+        other = (own != own[i]) & ((own == main) | (np.arange(len(rows)) > i))
+        other &= 100 * np.minimum(sizes, sizes[i]) >= PERCENT * np.maximum(sizes, sizes[i])
+        if crossing:
+            other &= half != half[i]
+        at = np.flatnonzero(other)
+        if band:  # a pair that shares an earlier bucket is compared there
+            at = at[~(keys[at, :band] == keys[i, :band]).any(axis=1)]
+        agree = (marks[at] == marks[i]).sum(axis=1)
+        at, agree = at[agree >= LEAST_AGREEING], agree[agree >= LEAST_AGREEING]
+        for j in at[np.argsort(-agree, kind="stable")].tolist():
+            a, b = root(own[i]), root(own[j])
+            if a != b and _similar(set_of(i), set_of(j)):
+                parent[a] = b
+                out.append((rows[i][1], rows[j][1]))
+    return out
+
+
+def _joining(members: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """Links that the stars of large buckets didn't find: (u, v) of nodes in different components."""
+    named = members.filter(F.col("size") > FEW).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    split = named.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("key")
+    named = written(named.join(split, "key").select("key", "node", "component", "size"))
+    texts = texts_of(named.select("node").distinct(), nodes, docs).join(nodes.select("node", "mark"), "node")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    dealt = (
+        named.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+        .withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .select("key", F.least("block", "with").alias("a"), F.greatest("block", "with").alias("b"), F.when(F.col("block") > F.col("with"), 1).otherwise(0).alias("half"), "node", "component")
+        .join(texts, "node").repartition(F.col("key"), F.col("a"), F.col("b")).sortWithinPartitions("key", "a", "b")
+    )
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        last, held, out = None, [], []
+        with np.errstate(over="ignore"):
+            for whole in batches:
+                for batch in sliced(whole, 500):
+                    columns = [batch.column(c).to_pylist() for c in ("key", "a", "b", "half", "node", "component", "mark")]
+                    for key, a, b, *rest, text in zip(*columns, byte_texts(batch.column("text")), strict=True):
+                        if (key, a, b) != last:
+                            if held:
+                                out += resolved(last[0], held, words)
+                            last, held = (key, a, b), []
+                        held.append((*rest, text))
+            if held:
+                out += resolved(last[0], held, words)
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], names=["u", "v"])
+
+    return dealt.select("key", "a", "b", "half", "node", "component", "mark", "text").mapInArrow(run, "u binary, v binary")
 
 
 def links(docs: DataFrame, rows: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
     """(confirmed links (u, v) that connect each component, component of each linked node). ``rows``: of signatures(), written."""
-    full = rows.filter("node is not null")
-    # Equal sets have equal marks; max is an aggregate that is joined partially before the shuffle.
-    nodes = written(full.groupBy("node").agg(F.min("row_key").alias("row_key"), F.max("mark").alias("mark")))
-    # Rows of one node share its keys: distinct before anything else, in part before the shuffle already.
-    spread = full.select(F.explode("keys").alias("key"), "node").distinct()
-    sizes = spread.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("first")).filter("size > 1")
-    members = written(spread.join(sizes, "key"))
+    # Equal sets have equal marks and keys; these aggregates are joined in part before the shuffle.
+    nodes = written(
+        rows.filter("node is not null").groupBy("node").agg(F.min("row_key").alias("row_key"), F.max("mark").alias("mark"), F.max("keys").alias("keys"), F.count("*").alias("copies"))
+    )
+    bucket = Window.partitionBy("key")
+    spread = nodes.select(F.explode("keys").alias("key"), "node", "copies")
+    members = written(
+        spread.select("key", "node", F.count("*").over(bucket).alias("size"), F.max(F.struct("copies", "node")).over(bucket)["node"].alias("centre")).filter("size > 1")
+    )
     found = confirmed(_pairs(members), nodes, docs, words)
     labels = written(components(found))
-    large = written(members.filter(F.col("size") > FEW).select("key", "node", "first"))
-    done, centres = None, 4
-    while True:
-        named = large.join(labels, "node", "left").select("key", "node", "first", F.coalesce("component", "node").alias("component"))
-        main = named.filter(F.col("node") == F.col("first")).select("key", F.col("component").alias("main"))
-        outside = named.join(main, "key").filter(F.col("component") != F.col("main"))
-        if done is not None:
-            outside = outside.join(done, ["key", "node"], "left_anti")
-        order = Window.partitionBy("key").orderBy("node")
-        chosen = written(outside.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= centres).select("key", F.col("node").alias("centre"), F.col("component").alias("centre_component")))
-        if chosen.isEmpty():
-            return found, labels
-        pairs = chosen.join(named.select("key", "node", "component"), "key").filter("component != centre_component").select(F.greatest("centre", "node").alias("u"), F.least("centre", "node").alias("v")).distinct()
-        more = confirmed(pairs, nodes, docs, words)
-        settled = chosen.select("key", F.col("centre").alias("node"))
-        done = written(settled if done is None else done.unionAll(settled))
-        if not more.isEmpty():
-            found = written(found.unionAll(more))
-            labels = written(components(found))
-        centres *= 2
+    more = written(_joining(members, labels, nodes, docs, words))
+    if not more.isEmpty():
+        found = written(found.unionAll(more))
+        labels = written(components(found))
+    return found, labels
 
 
 def groups(docs: DataFrame, words: int = 5) -> DataFrame:
