@@ -1,0 +1,193 @@
+"""Loading a dataset: drift, scope, derivation, validation, quarantine, insert-only merge, ledger."""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidelake.functions import temporal
+from tidelake.functions.conform import MALFORMED
+from tidelake.functions.expressions import month_predicate, surrogate_key
+from tidelake.operators.joins import lookup
+from tidelake.operators.relational import pivoted
+from tidelake.plans import drift
+from tidelake.plans.contracts import Contract, contract
+from tidelake.plans.ledger import Ledger
+from tidelake.plans.rules import Context, empty_like, validate
+from tidelake.sources.readers import describe_source
+from tidelake.sources.table import Table, files_for
+
+Step = Callable[[DataFrame], DataFrame]
+
+
+@dataclass
+class Workspace:
+    """Where the tables of a platform lie, and its ledger."""
+
+    spark: SparkSession
+    root: str
+    ledger: Ledger = field(init=False)
+
+    def __post_init__(self) -> None:
+        self.ledger = Ledger(self.spark, f"{self.root}/monitoring")
+
+    def table(self, name: str) -> Table:
+        return Table(self.spark, f"{self.root}/curated/{name}")
+
+    def quarantine(self, name: str) -> Table:
+        return Table(self.spark, f"{self.root}/quarantine/{name}")
+
+    def product(self, name: str) -> Table:
+        return Table(self.spark, f"{self.root}/products/{name}")
+
+
+def load(
+    ws: Workspace, name: str, raw: DataFrame, key: Sequence[str], *, process: Step = lambda df: df, scope: Step = lambda df: df, partition_by: Sequence[str] = (), rules: Contract | None = None, references: dict[str, DataFrame] | None = None,
+) -> tuple[DataFrame, dict]:
+    """Loads a batch; (rows that are clean, facts about the execution). A rejected batch writes nothing."""
+    agreed, target = rules or contract(name), ws.table(name)
+    with ws.ledger.track(name, raw, describe_source(raw)) as execution:
+        changes = drift.source_changes(raw.columns, agreed.columns() or raw.columns, agreed.required, agreed.undeclared)
+        rows_read = raw.count()
+        if drift.rejected(changes):
+            return _reject(execution, changes, rows_read, raw, target, process)
+        known = raw.drop(*[c.column for c in changes if c.action == drift.DROP_COLUMN])
+        scoped = scope(known)
+        batch = process(scoped)
+        if target.exists():
+            schema = target.schema()
+            found = drift.target_changes(batch.schema, schema)
+            changes += found
+            if drift.rejected(found):
+                return _reject(execution, changes, rows_read, raw, target, process)
+            batch = drift.aligned(batch, found, schema)
+        context = Context(target.read() if target.exists() else None, references or {})
+        outcome = validate(batch, agreed.all_rules(key, batch.columns), context)
+        if outcome.quarantined:
+            quarantine(ws, name, outcome.rejected, execution)
+        clean = outcome.valid.drop(MALFORMED)
+        valid = outcome.total - outcome.quarantined - outcome.dropped
+        if not target.exists():
+            target.create(clean, partition_by, None if partition_by else files_for(valid))
+            mode, inserted = "created", valid
+        elif valid:
+            inserted = target.insert_new(clean, key)
+            mode = "merged" if inserted else "unchanged"
+        else:
+            mode, inserted = "unchanged", 0
+        facts = {
+            "mode": mode, "rows_read": rows_read, "out_of_scope": rows_read - outcome.total, "rows_validated": outcome.total, "rows_valid": valid, "rows_quarantined": outcome.quarantined,
+            "rows_dropped": outcome.dropped, "rows_warned": outcome.warned, "rows_inserted": inserted, "schema_changes": [c.__dict__ for c in changes], "table_version": target.latest_version(),
+        }
+        execution.record(**facts)
+        execution.checks += outcome.checks
+        return clean, facts | {"status": "success", "checks": outcome.checks}
+
+
+def _reject(execution, changes, rows_read, raw, target, process):
+    facts = {"status": "rejected", "mode": "rejected", "rows_read": rows_read, "rows_inserted": 0, "schema_changes": [c.__dict__ for c in changes]}
+    execution.record(**facts)
+    if target.exists():
+        return empty_like(raw, target.schema()), facts
+    try:
+        return empty_like(process(raw.limit(0))), facts
+    except Exception:  # the derivation needs a column that the batch lacks
+        return empty_like(raw), facts
+
+
+def quarantine(ws: Workspace, name: str, rejected: DataFrame, execution) -> None:
+    """Appends rejected rows with where they come from; rows that lie there already with the same reasons aren't repeated."""
+    table = ws.quarantine(name)
+    content = rejected.columns
+    rows = rejected.withColumn("_content", F.xxhash64(*content))
+    if table.exists():
+        rows = rows.join(table.read().select("_content").distinct(), "_content", "left_anti")
+    table.append(rows.withColumns({"_dataset": F.lit(name), "_run_id": F.lit(ws.ledger.run_id), "_execution_id": F.lit(uuid.uuid4().hex), "_quarantined_at": F.current_timestamp()}))
+
+
+# derivations of the datasets
+
+
+def process_weather(df: DataFrame) -> DataFrame:
+    return df.withColumn("timestamp", temporal.parts_timestamp(F.col("year"), F.col("month"), F.col("day"), F.col("hour")))
+
+
+def process_air(df: DataFrame) -> DataFrame:
+    return df.withColumns({
+        "timestamp_local": temporal.text_timestamp(F.col("date_local").cast("string"), F.col("time_local")),
+        "timestamp_gmt": temporal.text_timestamp(F.col("date_gmt").cast("string"), F.col("time_gmt")),
+        "timestamp_last_change": temporal.text_timestamp(F.col("date_of_last_change").cast("string")),
+        "surrogate_key": surrogate_key("state_code", "county_code", "site_num", "parameter_code", "poc", "date_local", "time_local", "parameter_name"),
+    })
+
+
+def scope_air(df: DataFrame) -> DataFrame:
+    """New York City except Richmond and New York counties' other sites: fixed codes of the scope."""
+    return df.filter((F.col("state_code") == "36") & F.col("county_code").isin("005", "047", "081"))
+
+
+def process_trips(df: DataFrame) -> DataFrame:
+    key = surrogate_key("vendorid", "tpep_pickup_datetime", "tpep_dropoff_datetime", "pulocationid")
+    return df.withColumns({"surrogate_key": key} | temporal.calendar(F.col("tpep_pickup_datetime")))
+
+
+#: Pollutant names and the columns they become; fixed values.
+POLLUTANTS = {"PM2.5 - Local Conditions": "pm25", "Ozone": "ozone", "Nitrogen dioxide (NO2)": "no2", "Carbon monoxide": "co", "Sulfur dioxide": "so2"}
+
+
+def integrate(trips: DataFrame, weather: DataFrame, air: DataFrame, zones: DataFrame) -> DataFrame:
+    """Trips with the weather and air of the hour, and both zones; as many rows as trips."""
+    hourly = pivoted(air.withColumn("hour", temporal.local_hour(F.col("timestamp_local"))), ["hour"], "parameter_name", "sample_measurement", POLLUTANTS)
+    if "aqi" in air.columns:
+        added = air.groupBy(temporal.local_hour(F.col("timestamp_local")).alias("hour")).agg(F.avg("aqi").alias("aqi"))
+        hourly = hourly.join(added, "hour", "left")
+    measures = [c for c in ("temp", "rhum", "prcp", "snwd", "wspd", "pres", "coco", "humidity") if c in weather.columns]
+    out = trips.withColumn("pickup_hour", temporal.local_hour(F.col("tpep_pickup_datetime")))
+    out = lookup(out, weather, {"pickup_hour": "timestamp"}, columns=measures)
+    out = lookup(out, hourly, {"pickup_hour": "hour"}, columns=[c for c in hourly.columns if c != "hour"])
+    out = lookup(out, zones, {"pulocationid": "locationid"}, "pickup_", ("zone", "borough"))
+    return lookup(out, zones, {"dolocationid": "locationid"}, "dropoff_", ("zone", "borough"))
+
+
+def reenrich(ws: Workspace, months: set[tuple[int, int]]) -> int:
+    """Rebuilds months of the integrated table from the trips, for weather or air that came late."""
+    integrated, trips = ws.table("integrated_taxi_trips"), ws.table("trip_data").read()
+    part = trips.filter(month_predicate(months))
+    built = integrate(part, ws.table("weather").read(), ws.table("air_quality").read(), ws.table("taxi_zones").read())
+    schema = integrated.schema()
+    aligned = drift.aligned(built, drift.target_changes(built.schema, schema), schema)
+    return integrated.replace(aligned.drop(MALFORMED), months)
+
+
+def load_updates(ws: Workspace, raw: dict[str, DataFrame]) -> dict[str, dict]:
+    """A release: dimensions, trips, new integrated rows, then months that got observations late."""
+    done: dict[str, dict] = {}
+    integrated = ws.table("integrated_taxi_trips")
+    before = set(integrated.detail()["partitions"]) if integrated.exists() else set()
+    observed: set[tuple[int, int]] = set()
+    steps = {
+        "taxi_zones": (["locationid"], lambda d: d, lambda d: d, ()),
+        "weather": (["timestamp"], process_weather, lambda d: d, ()),
+        "air_quality": (["surrogate_key"], process_air, scope_air, ()),
+        "trip_data": (["surrogate_key"], process_trips, lambda d: d, ("year", "month")),
+    }
+    for name, (key, process, scope, by) in steps.items():
+        if name not in raw:
+            continue
+        references = {"taxi_zones": ws.table("taxi_zones").read()} if name == "trip_data" and ws.table("taxi_zones").exists() else {}
+        clean, done[name] = load(ws, name, raw[name], key, process=process, scope=scope, partition_by=by, references=references)
+        if name in ("weather", "air_quality") and done[name]["status"] == "success":
+            ts = F.col("timestamp" if name == "weather" else "timestamp_local")
+            observed |= {(r[0], r[1]) for r in clean.select(F.year(ts), F.month(ts)).distinct().collect()}
+        if name == "trip_data" and done[name]["status"] == "success":
+            whole = integrate(clean, ws.table("weather").read(), ws.table("air_quality").read(), ws.table("taxi_zones").read())
+            _, done["integrated_taxi_trips"] = load(ws, "integrated_taxi_trips", whole, ["surrogate_key"], partition_by=("year", "month"))
+    late = {m for m in observed if tuple(map(str, m)) in before}
+    if late:
+        done["reenriched"] = {"months": sorted(late), "version": reenrich(ws, late)}
+    ws.ledger.flush()
+    return done
