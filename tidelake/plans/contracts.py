@@ -13,8 +13,13 @@ from tidelake.plans import drift
 from tidelake.plans.rules import WARN, AllowedValues, Check, InRange, NotAlreadyLoaded, Positive, ReferenceExists, Rule, Unique, WellFormed, not_null
 
 
+TYPES = {"int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(), "string": T.StringType(), "date": T.DateType(), "timestamp_ntz": T.TimestampNTZType()}
+
+
 def schema(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """A schema from ``name type, ...``, which needs no session (unlike Spark's parser); names may hold blanks."""
+    fields = [x.strip().rsplit(" ", 1) for x in text.split(",")]
+    return T.StructType([T.StructField(name.strip("`"), TYPES[kind], True) for name, kind in fields])
 
 
 @dataclass(frozen=True)
