@@ -14,7 +14,7 @@ Scores are normalised over classes for each context (the normaliser of a context
 all class vectors and kept), and over the tokens of the shared class by add-one unigram probability, unseen tokens being
 one further kind. So the probabilities of all tokens after any context sum up to 1.
 
-Counts are applied to texts in two tiers: the ``HEAD`` most frequent tokens are sent to all executors (a fixed bound);
+Counts are applied to texts in two tiers: the most frequent tokens, at most ``HEAD``, are sent to all executors;
 the others go by a join on the token's hash, in which no key has more rows than the last head token has occurrences.
 
 Defined results: a null text is an empty one, that is one end token. A null id counts as an empty string for crc32. Rows
@@ -234,14 +234,32 @@ class Scorer:
         return (m.predicted(before, last) * m.target[token]).sum(axis=1, dtype=np.float64) + m.bias[token] - self.norm[code]
 
 
+def frequent(counted: DataFrame) -> tuple[list[bytes], np.ndarray]:
+    """The most frequent tokens and their counts: HEAD at most, those from a count on which a histogram of counts (of a
+    fixed number of bins) tells, so that nothing is sorted as a whole; CLASSES at least if there are as many."""
+    bins = F.floor(F.log2("c") * 16)
+    histogram = counted.groupBy(bins.alias("bin")).agg(F.count("*").alias("n"), F.min("c").alias("least")).orderBy(F.desc("bin")).collect()
+    held, least = 0, None
+    for row in histogram:
+        held += row["n"]
+        if held > HEAD:
+            break
+        least = row["least"]
+    chosen = counted.filter(F.col("c") >= least) if least is not None else counted.limit(0)
+    if not histogram or sum(r["n"] for r in histogram if least is not None and r["least"] >= least) < CLASSES:
+        chosen = counted.orderBy(F.desc("c"), "token").limit(CLASSES)
+    found = chosen.select("token", "c").toArrow()
+    rows = sorted(zip(found.column("token").to_pylist(), found.column("c").to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
+    return [t for t, _ in rows], np.array([c for _, c in rows], np.int64)
+
+
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of ``docs``."""
     context = docs.sparkSession.sparkContext
     counted = written(counts(docs))
     total = counted.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = int(total["n"]), int(total["v"])
-    head = counted.orderBy(F.desc("c"), "token").limit(HEAD).select("token", "c").toArrow()
-    head_tokens, head_counts = head.column("token").to_pylist(), head.column("c").to_numpy().astype(np.int64)
+    head_tokens, head_counts = frequent(counted)
     classes = min(CLASSES, len(head_tokens))
     numbers = {t: k for k, t in enumerate(head_tokens[:classes])}
     rest_mass = n - int(head_counts[:classes].sum())
