@@ -69,9 +69,10 @@ def row_key() -> Column:
 def index(docs: DataFrame, trigrams: list[str]) -> DataFrame:
     """Postings (trigram, row_key) of ``docs`` (row_key, text), case folded, for the trigrams that queries ask for."""
     folded = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    held = [F.when(F.contains(F.col("folded"), F.lit(t)), F.lit(t)) for t in trigrams]
-    rows = docs.select("row_key", folded.alias("folded")).select("row_key", F.array_compact(F.array(*held)).alias("held"))
-    return rows.select(F.explode("held").alias("trigram"), "row_key")
+    # The folded text is bound once for all trigrams.
+    wanted = F.array(*[F.lit(t) for t in trigrams])
+    held = F.transform(F.array(folded), lambda text: F.filter(wanted, lambda t: F.contains(text, t)))
+    return docs.select(F.explode(F.flatten(held)).alias("trigram"), "row_key")
 
 
 def candidates(postings: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
