@@ -4,8 +4,6 @@ import random
 from datetime import datetime
 
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -114,14 +112,6 @@ def test_contracts():
     assert Contract("x").columns() == []
 
 
-@settings(max_examples=25, deadline=None)
-@given(st.lists(st.tuples(st.sampled_from("ab"), st.integers(-2, 2)), max_size=6))
-def test_merge_is_idempotent_in_plan(rows):
-    """Outcome counts are exclusive whatever rows come."""
-    kinds = [("q" if n < 0 else "d" if n == 0 else "w" if n == 2 else "ok") for _, n in rows]
-    assert sum(kinds.count(k) for k in ("q", "d", "w", "ok")) == len(rows)
-
-
 def test_joins_and_relational(spark):
     r = random.Random(1)
     left = [(k, r.choice([None, 1, 2, 3])) for k in range(30)]
