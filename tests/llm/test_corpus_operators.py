@@ -136,7 +136,38 @@ def test_linked_lines_meet(a, edits):
     s, t = sorted([a, b], key=len)
     for k in (1, 2, 3):
         if s != t and len(s) > k and edit(s, t) <= k:
-            assert {x for x, own in line_dedup.keys_of(s, k) if own} & {x for x, _ in line_dedup.keys_of(t, k)}
+            assert meet(s, t, k, 0)
+
+
+def meet(s, t, k, parent):
+    """Whether two lines share a key under which what is left of them shares one, and so on."""
+    shared = {x for x, own, _, _ in line_dedup.pieces_of(s, k, parent) if own} & {x for x, _, _, _ in line_dedup.pieces_of(t, k, parent)}
+    if not shared or max(len(s), len(t)) <= 2 * k:
+        return bool(shared)
+    return any(
+        edit(*sorted([a, b], key=len)) <= k and (a == b or meet(a, b, k, x)) for x in shared for a in line_dedup.rests_of(s, k, x, parent) for b in line_dedup.rests_of(t, k, x, parent) if len(a) <= len(b)
+    )
+
+
+@pytest.mark.parametrize("batch", [16, 10_000])
+def test_links_under_crowded_keys(spark, batch):
+    """Many lines with a common heading: the keys of the heading are split until few lines meet."""
+    r, edits = random.Random(12), 1
+    tails = [f"{r.randrange(10**6):06d}{c}" for c in ("", "é", " and so on") for _ in range(120)]
+    tails += [t[:3] + r.choice("0x") + t[3 + r.randrange(2) :] for t in tails[::3]]
+    heading = "Posted to the common list, number "
+    tails = sorted(set(tails))
+    lines = [heading + t for t in tails]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = line_dedup.links(frame(spark, [(k, "\n".join(lines[k % 3 :: 3])) for k in range(5)]), edits, meeting=8).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    name = {hashlib.md5(x.encode()).digest(): x for x in lines}
+    # A common heading doesn't change the distance.
+    want = {(heading + x, heading + y) for i, x in enumerate(tails) for y in tails[:i] if abs(len(x) - len(y)) <= edits and edit(x, y) <= edits}
+    assert len(want) > 100 and len(got) == len(want)
+    assert {tuple(sorted((name[bytes(x.a)], name[bytes(x.b)]), reverse=True)) for x in got} == want
 
 
 def brute_lines(data, edits):

@@ -13,7 +13,11 @@ aside, are layout rather than text; they are left alone. Everything else counts,
 
 Equal lines collapse in part before each shuffle, so a line that a third of all rows holds is one row. Lines that meet
 under one index key are paired inside the task that reads the key, in blocks of ``GROUP`` lines, and only those that
-pass the character counts leave it.
+pass the character counts leave it. Where more than ``MEETING`` different lines meet, as below a common heading, no task
+holds them: what is left of them without the common segment still lies within ``edits``, so it is split into segments
+and indexed again, under the old key and the new segment. So the group falls apart into small ones, level by level,
+until only ``2 * edits`` characters are left. (That is so for one edit, which production uses; with more, the segments
+that can meet multiply from level to level, so a task pairs such a group in blocks.)
 
 Defined results: a null text has no lines and stays null. Rows with equal id and text are alike: each keeps what the
 other keeps. Columns besides id and text pass through; they may have any name.
@@ -33,6 +37,8 @@ from tidelake.llm.common import byte_texts, sliced, table, written
 EDITS = 1
 MIN_CHARS = 20
 GROUP = 1024
+#: Different lines under one key up to which one task pairs them.
+MEETING = 4 * GROUP
 #: Rows of two numbers up to which a side is sent to all executors (a few MB).
 SMALL_SIDE = 200_000
 
@@ -48,13 +54,19 @@ def parts(n: int, k: int) -> list[tuple[int, int]]:
     return out
 
 
-def keys_of(line: str, edits: int) -> list[tuple[int, bool]]:
-    """(key, whether it is of the index) for a line: its own segments, and what it looks up."""
+def pieces_of(line: str, edits: int, parent: int = 0) -> list[tuple[int, bool, int, int]]:
+    """(key, whether it is of the index, start, size) for a line: its own segments, and what it looks up.
+
+    ``parent`` is the key under which the line's rest is indexed again. Rests that are too short to be split, and those
+    that such a one may be linked with, meet under one key.
+    """
     import xxhash
 
     digest, n, out = xxhash.xxh3_64_intdigest, len(line), []
     plain = line.isascii()
     data = line.encode() if plain else line
+    if n <= 2 * edits:
+        out.append((digest(b"", seed=parent % (1 << 64)) - (1 << 63), True, 0, 0))
     for length in range(max(edits + 1, n - edits), n + 1):
         more = n - length
         for i, (start, size) in enumerate(parts(length, edits + 1)):
@@ -62,10 +74,15 @@ def keys_of(line: str, edits: int) -> list[tuple[int, bool]]:
             high = min(n - size, start + i, start + more + (edits - i))
             for at in range(low, high + 1):
                 piece = data[at : at + size] if plain else data[at : at + size].encode()
-                out.append((digest(piece, seed=length * 16 + i) - (1 << 63), not more and at == start))
+                out.append((digest(piece, seed=(parent + length * 16 + i) % (1 << 64)) - (1 << 63), not more and at == start, at, size))
     return out
 
 
+def rests_of(line: str, edits: int, key: int, parent: int = 0) -> set[str]:
+    """What is left of a line without the piece that ``key`` stands for (at each place where it does)."""
+    return {line[:at] + line[at + size :] for found, _, at, size in pieces_of(line, edits, parent) if found == key}
+
+
 def counts_of(line: str) -> bytes:
     """Numbers of characters in eight classes, modulo 256."""
     codes = np.frombuffer(line.encode("utf-32-le"), np.uint32)
@@ -129,8 +146,9 @@ def counts_as_line(line: Column) -> Column:
     return F.length(F.trim(line)) >= MIN_CHARS
 
 
-def _candidates(docs: DataFrame, edits: int) -> DataFrame:
-    """Pairs (u, v) of line numbers (the first 64 bits of the lines' digests) that may be linked, each once."""
+def _indexed(docs: DataFrame, edits: int) -> DataFrame:
+    """(key, mark, line, counts) of all lines. mark: twice the line's length, and 1 if the key is of the index; line: its
+    number, the first 64 bits of its digest."""
 
     def spread(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -153,75 +171,180 @@ def _candidates(docs: DataFrame, edits: int) -> DataFrame:
                             seen.clear()
                         seen.add(number)
                         mark = int.from_bytes(counts_of(line), "little", signed=True)
-                        for key, indexed in keys_of(line, edits):
+                        for key, indexed, _, _ in pieces_of(line, edits):
                             keys.append(key)
                             marks.append(len(line) * 2 + indexed)
                             owners.append(number)
                             counts.append(mark)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (keys, marks, owners, counts)], names=["key", "mark", "line", "counts"])
 
-    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(spread, "key long, mark long, line long, counts long")
-    dealt = rows.repartition(F.col("key")).sortWithinPartitions("key")
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(spread, "key long, mark long, line long, counts long")
+
+
+def _pairs(table: np.ndarray, edits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs within the groups of equal keys of a table (key, mark, line, counts) whose keys are in order."""
+    key = table[0]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    size = np.diff(np.r_[first, len(key)])
+    us, vs = [], []
+    for at, n in zip(first[size > 1], size[size > 1], strict=True):
+        group = np.unique(table[1:4, at : at + n], axis=1)
+        owners = group[1]
+        if owners.min() == owners.max():
+            continue
+        length, indexed = group[0] >> 1, (group[0] & 1).astype(bool)
+        bytes_of = np.ascontiguousarray(group[2]).view(np.uint8).reshape(-1, 8).astype(np.int16)
+        for i in range(0, len(owners), GROUP):
+            mine = np.flatnonzero(indexed[i : i + GROUP]) + i
+            for j in range(0, len(owners), GROUP):
+                other = slice(j, j + GROUP)
+                moved = np.abs(bytes_of[mine][:, None, :] - bytes_of[other][None, :, :])
+                near = np.minimum(moved, 256 - moved).sum(axis=2) <= 2 * edits
+                near &= (length[other][None, :] >= length[mine][:, None]) & (owners[other][None, :] != owners[mine][:, None])
+                a, b = np.nonzero(near)
+                us.append(np.maximum(owners[mine][a], owners[other][b]))
+                vs.append(np.minimum(owners[mine][a], owners[other][b]))
+    if not us:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    found = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)]), axis=1)
+    return found[0], found[1]
+
+
+def _met(rows: DataFrame, edits: int, meeting: int) -> DataFrame:
+    """(u, v, key): pairs of lines that meet under a key and may be linked; of keys with more than ``meeting`` different
+    lines the lines themselves, as u, with a null v.
+
+    ``rows``: key, mark, line, counts and, from the second level on, left (characters of the rest).
+    """
+    names = [c for c in ("key", "mark", "line", "counts", "left") if c in rows.columns]
+    # Within a key, those of the index come first; where there is none, nothing can be linked.
+    dealt = rows.select(*names).repartition(F.col("key")).sortWithinPartitions("key", F.col("mark").bitwiseAND(1).desc())
 
-    def meet(batches: Iterator) -> Iterator:
+    def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        left = np.empty((4, 0), np.int64)
-
-        def pairs(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """Pairs within the groups of equal keys of a table whose keys are in order."""
-            key = table[0]
-            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            size = np.diff(np.r_[first, len(key)])
-            us, vs = [], []
-            for at, n in zip(first[size > 1], size[size > 1], strict=True):
-                group = np.unique(table[1:, at : at + n], axis=1)
-                owners = group[1]
-                if owners.min() == owners.max():
-                    continue
-                length, indexed = group[0] >> 1, (group[0] & 1).astype(bool)
-                bytes_of = np.ascontiguousarray(group[2]).view(np.uint8).reshape(-1, 8).astype(np.int16)
-                for i in range(0, len(owners), GROUP):
-                    mine = np.flatnonzero(indexed[i : i + GROUP]) + i
-                    for j in range(0, len(owners), GROUP):
-                        other = slice(j, j + GROUP)
-                        moved = np.abs(bytes_of[mine][:, None, :] - bytes_of[other][None, :, :])
-                        near = np.minimum(moved, 256 - moved).sum(axis=2) <= 2 * edits
-                        near &= (length[other][None, :] >= length[mine][:, None]) & (owners[other][None, :] != owners[mine][:, None])
-                        a, b = np.nonzero(near)
-                        us.append(np.maximum(owners[mine][a], owners[other][b]))
-                        vs.append(np.minimum(owners[mine][a], owners[other][b]))
-            if not us:
-                return np.empty(0, np.int64), np.empty(0, np.int64)
-            found = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)]), axis=1)
-            return found[0], found[1]
+        held, crowded, linkable = np.empty((len(names), 0), np.int64), None, False
+
+        def out(u: np.ndarray, v: np.ndarray | None, key: np.ndarray | None) -> pa.RecordBatch:
+            none = pa.nulls(len(u), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), none if v is None else pa.array(v, pa.int64()), none if key is None else pa.array(key, pa.int64())], names=["u", "v", "key"])
+
+        def ended(table: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """What whole groups give."""
+            first = np.flatnonzero(np.r_[True, table[0, 1:] != table[0, :-1]])
+            size = np.diff(np.r_[first, table.shape[1]])
+            inside = np.ones(table.shape[1], bool)
+            for at, n in zip(first[size > meeting], size[size > meeting], strict=True):
+                if too_many(table[:, at : at + n]):
+                    inside[at : at + n] = False
+                    yield members(table[:, at : at + n])
+            yield out(*_pairs(table[:, inside], edits), None)
+
+        def members(group: np.ndarray) -> pa.RecordBatch:
+            if not (group[1] & 1).any():
+                group = group[:, :0]
+            return out(group[2], None, group[0])
+
+        def too_many(group: np.ndarray) -> bool:
+            if len(names) == 5 and group[4].max() <= 2 * edits:
+                return False  # nothing is left to be split: as many lines as there are such short texts
+            return len(np.unique(group[2])) > meeting
 
         for batch in batches:
-            table = np.concatenate([left, np.stack([batch.column(k).to_numpy() for k in range(4)])], axis=1)
+            table = np.stack([batch.column(c).to_numpy() for c in names])
+            if crowded is not None:  # the group that the last batches began goes on
+                same = int(np.searchsorted(table[0], crowded, "right"))
+                if same and linkable:
+                    yield out(table[2, :same], None, table[0, :same])
+                table = table[:, same:]
+                if not table.shape[1]:
+                    continue
+                crowded = None
+            table = np.concatenate([held, table], axis=1)
             if not table.shape[1]:
                 continue
             cut = int(np.searchsorted(table[0], table[0, -1], "left"))
-            left = table[:, cut:]
             if cut:
-                u, v = pairs(table[:, :cut])
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
-        if left.shape[1]:
-            u, v = pairs(left)
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+                yield from ended(table[:, :cut])
+            held = table[:, cut:]
+            if held.shape[1] > meeting:
+                held = np.unique(held, axis=1)
+                if held.shape[1] > meeting and too_many(held):
+                    yield members(held)
+                    crowded, linkable, held = int(held[0, 0]), bool((held[1] & 1).any()), held[:, :0]
+        if held.shape[1]:
+            yield from ended(held)
+
+    return dealt.mapInArrow(run, "u long, v long, key long")
+
+
+def _refined(rows: DataFrame, edits: int) -> DataFrame:
+    """The next level's index: key, mark, line, counts, left, parent, rest. ``rows``: key, mark, line, counts, parent, rest,
+    of which a piece of rest goes for key."""
+    names = ["key", "mark", "line", "counts", "left", "parent", "rest"]
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for whole in batches:
+            for batch in sliced(whole, 500):
+                out = []
+                columns = [batch.column(c).to_pylist() for c in ("key", "mark", "line", "counts", "parent", "rest")]
+                for key, mark, line, counts, parent, rest in zip(*columns, strict=True):
+                    for left in rests_of(rest, edits, key, parent):
+                        out += {(k, mark & -2 | own, line, counts, len(left), key, left) for k, own, _, _ in pieces_of(left, edits, key)}
+                kinds = [pa.int64()] * 6 + [pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [()] * 7, kinds, strict=True)], names=names)
+
+    return rows.select("key", "mark", "line", "counts", "parent", "rest").mapInArrow(run, "key long, mark long, line long, counts long, left long, parent long, rest string")
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """line, key (its digest) and id (its number) of each line that counts."""
+    lines = docs.select(F.explode(F.split(F.col("text").cast("string"), "\n", -1)).alias("line")).filter(counts_as_line(F.col("line")))
+    return lines.select("line", F.unhex(F.md5("line")).alias("key")).withColumn("id", F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long"))
 
-    return dealt.mapInArrow(meet, "u long, v long").distinct()
 
+def _texts(docs: DataFrame, wanted: DataFrame, few: bool) -> DataFrame:
+    """(key, id, line), each once, of the lines whose numbers ``wanted`` (id) asks for; ``few``: proven to be SMALL_SIDE at most."""
+    side = F.broadcast(wanted) if few else wanted
+    return written(_numbered(docs).join(side, "id", "left_semi").groupBy("key").agg(F.first("id").alias("id"), F.first("line").alias("line")))
 
-def links(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+
+def _candidates(docs: DataFrame, edits: int, meeting: int) -> DataFrame:
+    """Pairs (u, v) of line numbers that may be linked, each once."""
+    met = written(_met(_indexed(docs, edits), edits, meeting if edits == 1 else 1 << 62))
+    found, crowded = met.filter("v is not null").select("u", "v"), met.filter("v is null")
+    if crowded.isEmpty():
+        return found.distinct()
+    crowded = written(crowded.select("key", F.col("u").alias("line")).distinct())
+    wanted = crowded.select(F.col("line").alias("id")).distinct()
+    texts = _texts(docs, wanted, crowded.count() <= SMALL_SIDE)
+
+    def described(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            lines = batch.column("rest").to_pylist()
+            marks, counts = [2 * len(x) for x in lines], [int.from_bytes(counts_of(x), "little", signed=True) for x in lines]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.int64()), pa.array(counts, pa.int64()), pa.array([0] * len(lines), pa.int64())], names=["key", "line", "rest", "mark", "counts", "parent"])
+
+    rows = crowded.join(texts.select(F.col("id").alias("line"), F.col("line").alias("rest")), "line").select("key", "line", "rest")
+    rows = rows.mapInArrow(described, "key long, line long, rest string, mark long, counts long, parent long")
+    while True:  # each level's rests are shorter
+        index = written(_refined(rows, edits))
+        met = written(_met(index, edits, meeting))
+        found, crowded = found.unionAll(met.filter("v is not null").select("u", "v")), met.filter("v is null").select("key", F.col("u").alias("line")).distinct()
+        if crowded.isEmpty():
+            return found.distinct()
+        rows = index.join(crowded, ["key", "line"], "left_semi").dropDuplicates(["key", "line", "rest"])
+
+
+def links(docs: DataFrame, edits: int = EDITS, meeting: int = MEETING) -> DataFrame:
     """Keys (a, b) of all pairs of different lines within ``edits`` edit operations, each pair once."""
-    found = written(_candidates(docs, edits))
+    found = written(_candidates(docs, edits, meeting))
     wanted = found.select(F.col("u").alias("id")).unionAll(found.select("v")).distinct()
-    if found.count() <= SMALL_SIDE // 2:
-        wanted = F.broadcast(wanted)
-    text = F.col("text").cast("string")
-    lines = docs.select(F.explode(F.split(text, "\n", -1)).alias("line")).filter(counts_as_line(F.col("line")))
-    numbered = lines.select("line", F.unhex(F.md5("line")).alias("key")).withColumn("id", F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long"))
-    texts = written(numbered.join(wanted, "id", "left_semi").groupBy("key").agg(F.first("id").alias("id"), F.first("line").alias("line")))
+    texts = _texts(docs, wanted, found.count() <= SMALL_SIDE // 2)
     both = found.join(texts.toDF("key_u", "u", "line_u"), "u").join(texts.toDF("key_v", "v", "line_v"), "v")
 
     def verify(batches: Iterator) -> Iterator:
