@@ -211,23 +211,25 @@ def _pairs(table: np.ndarray, edits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _met(rows: DataFrame, edits: int, meeting: int) -> DataFrame:
-    """(u, v, key): pairs of lines that meet under a key and may be linked; of keys with more than ``meeting`` different
-    lines the lines themselves, as u, with a null v.
+    """(u, v, key, own): pairs of lines that meet under a key and may be linked; of keys with more than ``meeting``
+    different lines the lines themselves, as u, with a null v, and whether the key is of the index for them.
 
     ``rows``: key, mark, line, counts and, from the second level on, left (characters of the rest).
     """
     names = [c for c in ("key", "mark", "line", "counts", "left") if c in rows.columns]
-    # Within a key, those of the index come first; where there is none, nothing can be linked.
-    dealt = rows.select(*names).repartition(F.col("key")).sortWithinPartitions("key", F.col("mark").bitwiseAND(1).desc())
+    dealt = rows.select(*names).repartition(F.col("key")).sortWithinPartitions("key")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        held, crowded, linkable = np.empty((len(names), 0), np.int64), None, False
+        held, crowded = np.empty((len(names), 0), np.int64), None
 
-        def out(u: np.ndarray, v: np.ndarray | None, key: np.ndarray | None) -> pa.RecordBatch:
-            none = pa.nulls(len(u), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), none if v is None else pa.array(v, pa.int64()), none if key is None else pa.array(key, pa.int64())], names=["u", "v", "key"])
+        def linked(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.nulls(len(u), pa.int64()), pa.nulls(len(u), pa.bool_())], names=["u", "v", "key", "own"])
+
+        def members(group: np.ndarray) -> pa.RecordBatch:
+            own = (group[1] & 1).astype(bool)
+            return pa.RecordBatch.from_arrays([pa.array(group[2]), pa.nulls(len(own), pa.int64()), pa.array(group[0]), pa.array(own)], names=["u", "v", "key", "own"])
 
         def ended(table: np.ndarray) -> Iterator[pa.RecordBatch]:
             """What whole groups give."""
@@ -238,12 +240,7 @@ def _met(rows: DataFrame, edits: int, meeting: int) -> DataFrame:
                 if too_many(table[:, at : at + n]):
                     inside[at : at + n] = False
                     yield members(table[:, at : at + n])
-            yield out(*_pairs(table[:, inside], edits), None)
-
-        def members(group: np.ndarray) -> pa.RecordBatch:
-            if not (group[1] & 1).any():
-                group = group[:, :0]
-            return out(group[2], None, group[0])
+            yield linked(*_pairs(table[:, inside], edits))
 
         def too_many(group: np.ndarray) -> bool:
             if len(names) == 5 and group[4].max() <= 2 * edits:
@@ -254,8 +251,8 @@ def _met(rows: DataFrame, edits: int, meeting: int) -> DataFrame:
             table = np.stack([batch.column(c).to_numpy() for c in names])
             if crowded is not None:  # the group that the last batches began goes on
                 same = int(np.searchsorted(table[0], crowded, "right"))
-                if same and linkable:
-                    yield out(table[2, :same], None, table[0, :same])
+                if same:
+                    yield members(table[:, :same])
                 table = table[:, same:]
                 if not table.shape[1]:
                     continue
@@ -271,11 +268,17 @@ def _met(rows: DataFrame, edits: int, meeting: int) -> DataFrame:
                 held = np.unique(held, axis=1)
                 if held.shape[1] > meeting and too_many(held):
                     yield members(held)
-                    crowded, linkable, held = int(held[0, 0]), bool((held[1] & 1).any()), held[:, :0]
+                    crowded, held = int(held[0, 0]), held[:, :0]
         if held.shape[1]:
             yield from ended(held)
 
-    return dealt.mapInArrow(run, "u long, v long, key long")
+    return dealt.mapInArrow(run, "u long, v long, key long, own boolean")
+
+
+def _crowded(met: DataFrame) -> DataFrame:
+    """(key, line) of the keys whose lines weren't paired; those of which no line is of the index link nothing."""
+    rows = met.filter("v is null")
+    return rows.join(rows.filter("own").select("key").distinct(), "key", "left_semi").select("key", F.col("u").alias("line")).distinct()
 
 
 def _refined(rows: DataFrame, edits: int) -> DataFrame:
@@ -314,10 +317,10 @@ def _texts(docs: DataFrame, wanted: DataFrame, few: bool) -> DataFrame:
 def _candidates(docs: DataFrame, edits: int, meeting: int) -> DataFrame:
     """Pairs (u, v) of line numbers that may be linked, each once."""
     met = written(_met(_indexed(docs, edits), edits, meeting if edits == 1 else 1 << 62))
-    found, crowded = met.filter("v is not null").select("u", "v"), met.filter("v is null")
-    if crowded.isEmpty():
+    found = met.filter("v is not null").select("u", "v")
+    if met.filter("own").isEmpty():
         return found.distinct()
-    crowded = written(crowded.select("key", F.col("u").alias("line")).distinct())
+    crowded = written(_crowded(met))
     wanted = crowded.select(F.col("line").alias("id")).distinct()
     texts = _texts(docs, wanted, crowded.count() <= SMALL_SIDE)
 
@@ -334,10 +337,10 @@ def _candidates(docs: DataFrame, edits: int, meeting: int) -> DataFrame:
     while True:  # each level's rests are shorter
         index = written(_refined(rows, edits))
         met = written(_met(index, edits, meeting))
-        found, crowded = found.unionAll(met.filter("v is not null").select("u", "v")), met.filter("v is null").select("key", F.col("u").alias("line")).distinct()
-        if crowded.isEmpty():
+        found = found.unionAll(met.filter("v is not null").select("u", "v"))
+        if met.filter("own").isEmpty():
             return found.distinct()
-        rows = index.join(crowded, ["key", "line"], "left_semi").dropDuplicates(["key", "line", "rest"])
+        rows = index.join(_crowded(met), ["key", "line"], "left_semi").dropDuplicates(["key", "line", "rest"])
 
 
 def links(docs: DataFrame, edits: int = EDITS, meeting: int = MEETING) -> DataFrame:
