@@ -170,6 +170,33 @@ def test_links_under_crowded_keys(spark, batch):
     assert {tuple(sorted((name[bytes(x.a)], name[bytes(x.b)]), reverse=True)) for x in got} == want
 
 
+def test_replaced_word_in_long_line(spark, tmp_path):
+    """A word that differs by two edits in a long line, as op6 and the pipeline's stage see it."""
+    line = prose(900, 40)
+    changed = line[:130] + "zz" + line[132:]
+    assert len(line) > 270 and edit(line, changed) == 2
+    data = [(1, line), (2, changed), (3, prose(901, 40))]
+    frame(spark, data).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: (x.n_near_dropped, x.n_links) for x in line_dedup.op6_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: (0, 1), 2: (1, 1), 3: (0, 0)}
+    assert {x.doc_id: x.text for x in line_dedup.stage(spark, frame(spark, data), "").collect()} == {1: line, 2: "", 3: data[2][1]}
+
+
+def test_crowded_keys_with_two_edits(spark, monkeypatch):
+    """Keys of a common heading are split for two edits, too."""
+    r, refined, calls = random.Random(13), line_dedup._refined, []
+    monkeypatch.setattr(line_dedup, "_refined", lambda *a: calls.append(1) or refined(*a))
+    tails = [f"{r.randrange(10**7):07d}{c}" for c in ("", "é so on") for _ in range(60)]
+    tails = sorted({*tails, *(t[:2] + r.choice("0x") + t[2 + r.randrange(2) : 5] + t[5 + r.randrange(2) :] for t in tails[::2])})
+    heading = "Posted to the list, no. "
+    lines = [heading + t for t in tails]
+    got = line_dedup.links(frame(spark, [(k, "\n".join(lines[k % 3 :: 3])) for k in range(4)]), 2, meeting=12).collect()
+    name = {hashlib.md5(x.encode()).digest(): x for x in lines}
+    want = {(heading + x, heading + y) for i, x in enumerate(tails) for y in tails[:i] if abs(len(x) - len(y)) <= 2 and edit(x, y) <= 2}
+    assert calls and len(want) > 40 and len(got) == len(want)
+    assert {tuple(sorted((name[bytes(x.a)], name[bytes(x.b)]), reverse=True)) for x in got} == want
+
+
 def brute_lines(data, edits):
     order = sorted(range(len(data)), key=lambda k: (data[k][0] is None, data[k][0] or 0))
     counts = lambda line: len(line.strip(" ")) >= line_dedup.MIN_CHARS

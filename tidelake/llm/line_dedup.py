@@ -1,9 +1,12 @@
 """Line deduplication by a segment-partition edit join (operator 6).
 
-Lines within ``edits`` edit operations of each other are linked. A line is split into edits + 1 segments; if two lines
-are linked, one segment of the shorter occurs unchanged in the longer, near its own place. So each line puts its segments
-in an index under (length, segment number, text) and probes the indexes of its own and the ``edits`` smaller lengths with
-those of its substrings that the segment could have become (Li et al., "Pass-Join", 2011, multi-match-aware selection).
+Lines within ``edits`` edit operations of each other are linked. Lengths fall into classes; a class has edits + 1
+segments of one size, the first half of them placed from a line's start, the others from its end. If two lines are
+linked, some segment i of the shorter is untouched, with i operations before it and edits - i after it at most (Li et
+al., "Pass-Join", 2011, multi-match-aware selection): in the longer it is moved by i or edits - i places at most, counted
+from the end it is placed from. So each line puts its segments in an index under (class, segment number, text) and looks
+up those of its substrings that such a segment could have become, in its own class and in those of the ``edits`` smaller
+lengths: about five keys a line for two edits.
 Lines that meet are first compared by counts of characters, which any edit moves by at most two, then verified by a
 banded bit-parallel edit distance.
 
@@ -16,8 +19,7 @@ under one index key are paired inside the task that reads the key, in blocks of
 pass the character counts leave it. Where more than ``MEETING`` different lines meet, as below a common heading, no task
 holds them: what is left of them without the common segment still lies within ``edits``, so it is split into segments
 and indexed again, under the old key and the new segment. So the group falls apart into small ones, level by level,
-until only ``2 * edits`` characters are left. (That is so for one edit, which production uses; with more, the segments
-that can meet multiply from level to level, so a task pairs such a group in blocks.)
+until only ``2 * edits`` characters are left.
 
 Defined results: a null text has no lines and stays null. Rows with equal id and text are alike: each keeps what the
 other keeps. Columns besides id and text pass through; they may have any name.
@@ -25,6 +27,7 @@ other keeps. Columns besides id and text pass through; they may have any name.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -34,7 +37,7 @@ from pyspark.sql import functions as F
 
 from tidelake.llm.common import byte_texts, sliced, table, written
 
-EDITS = 1
+EDITS = 2
 MIN_CHARS = 20
 GROUP = 1024
 #: Different lines under one key up to which one task pairs them.
@@ -43,15 +46,26 @@ MEETING = 4 * GROUP
 SMALL_SIDE = 200_000
 
 
-def parts(n: int, k: int) -> list[tuple[int, int]]:
-    """Start and length of the k segments of a line of n characters; the last ones are a character longer."""
-    short, longer = n // k, n % k
-    out, at = [], 0
-    for i in range(k):
-        size = short + (i >= k - longer)
-        out.append((at, size))
-        at += size
-    return out
+@functools.lru_cache(1 << 14)
+def _class_of(n: int, edits: int) -> int:
+    """The least length of the class of lengths that ``n`` is in; a class is about a fifth of its lengths wide."""
+    start = edits + 1
+    while start + max(1, start // 4) <= n:
+        start += max(1, start // 4)
+    return start
+
+
+@functools.lru_cache(1 << 14)
+def _plan(n: int, edits: int) -> tuple[tuple[int, bool, int, int], ...]:
+    """(salt, whether it is of the index, start, size) of the pieces of a line of n characters."""
+    out = []
+    for start in sorted({_class_of(m, edits) for m in range(max(edits + 1, n - edits), n + 1)}):
+        size, own = start // (edits + 1), start == _class_of(n, edits) if n > edits else False
+        for i in range(edits + 1):
+            back = edits - i
+            at, moves = (i * size, i) if i <= back else (n - (back + 1) * size, back)
+            out += [(start * 16 + i, own and not d, at + d, size) for d in range(-moves, moves + 1) if 0 <= at + d <= n - size]
+    return tuple(out)
 
 
 def pieces_of(line: str, edits: int, parent: int = 0) -> list[tuple[int, bool, int, int]]:
@@ -67,14 +81,9 @@ def pieces_of(line: str, edits: int, parent: int = 0) -> list[tuple[int, bool, i
     data = line.encode() if plain else line
     if n <= 2 * edits:
         out.append((digest(b"", seed=parent % (1 << 64)) - (1 << 63), True, 0, 0))
-    for length in range(max(edits + 1, n - edits), n + 1):
-        more = n - length
-        for i, (start, size) in enumerate(parts(length, edits + 1)):
-            low = max(0, start - i, start + more - (edits - i))
-            high = min(n - size, start + i, start + more + (edits - i))
-            for at in range(low, high + 1):
-                piece = data[at : at + size] if plain else data[at : at + size].encode()
-                out.append((digest(piece, seed=(parent + length * 16 + i) % (1 << 64)) - (1 << 63), not more and at == start, at, size))
+    for salt, own, at, size in _plan(n, edits):
+        piece = data[at : at + size] if plain else data[at : at + size].encode()
+        out.append((digest(piece, seed=(parent + salt) % (1 << 64)) - (1 << 63), own, at, size))
     return out
 
 
@@ -83,8 +92,13 @@ def rests_of(line: str, edits: int, key: int, parent: int = 0) -> set[str]:
     return {line[:at] + line[at + size :] for found, _, at, size in pieces_of(line, edits, parent) if found == key}
 
 
+_ASCII_CLASSES = bytes(code * 2654435761 % (1 << 32) >> 29 for code in range(256))
+
+
 def counts_of(line: str) -> bytes:
     """Numbers of characters in eight classes, modulo 256."""
+    if line.isascii():
+        return np.bincount(np.frombuffer(line.encode().translate(_ASCII_CLASSES), np.uint8), minlength=8).astype(np.uint8).tobytes()
     codes = np.frombuffer(line.encode("utf-32-le"), np.uint32)
     return np.bincount((codes * np.uint32(2654435761)) >> np.uint32(29), minlength=8).astype(np.uint8).tobytes()
 
@@ -156,7 +170,7 @@ def _indexed(docs: DataFrame, edits: int) -> DataFrame:
         seen: set[int] = set()
         for whole in batches:
             for batch in sliced(whole, 500):
-                keys, marks, owners, counts = [], [], [], []
+                keys, marks, owners, counts, n_keys = [], [], [], [], []
                 for text in byte_texts(batch.column("text")):
                     for data in (text or b"").split(b"\n"):
                         if len(data) < MIN_CHARS:
@@ -171,12 +185,14 @@ def _indexed(docs: DataFrame, edits: int) -> DataFrame:
                             seen.clear()
                         seen.add(number)
                         mark = int.from_bytes(counts_of(line), "little", signed=True)
-                        for key, indexed, _, _ in pieces_of(line, edits):
-                            keys.append(key)
-                            marks.append(len(line) * 2 + indexed)
-                            owners.append(number)
-                            counts.append(mark)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (keys, marks, owners, counts)], names=["key", "mark", "line", "counts"])
+                        pieces = pieces_of(line, edits)
+                        keys += [x[0] for x in pieces]
+                        marks += [len(line) * 2 + x[1] for x in pieces]
+                        owners.append(number)
+                        counts.append(mark)
+                        n_keys.append(len(pieces))
+                lasting = [np.repeat(np.array(x, np.int64), np.array(n_keys, np.int64)) for x in (owners, counts)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (keys, marks, *lasting)], names=["key", "mark", "line", "counts"])
 
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(spread, "key long, mark long, line long, counts long")
 
@@ -200,7 +216,8 @@ def _pairs(table: np.ndarray, edits: int) -> tuple[np.ndarray, np.ndarray]:
                 other = slice(j, j + GROUP)
                 moved = np.abs(bytes_of[mine][:, None, :] - bytes_of[other][None, :, :])
                 near = np.minimum(moved, 256 - moved).sum(axis=2) <= 2 * edits
-                near &= (length[other][None, :] >= length[mine][:, None]) & (owners[other][None, :] != owners[mine][:, None])
+                more = length[other][None, :] - length[mine][:, None]
+                near &= (more >= 0) & (more <= edits) & (owners[other][None, :] != owners[mine][:, None])
                 a, b = np.nonzero(near)
                 us.append(np.maximum(owners[mine][a], owners[other][b]))
                 vs.append(np.minimum(owners[mine][a], owners[other][b]))
@@ -303,20 +320,20 @@ def _refined(rows: DataFrame, edits: int) -> DataFrame:
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """line, key (its digest) and id (its number) of each line that counts."""
+    """line, hex (its digest) and id (its number) of each line that counts."""
     lines = docs.select(F.explode(F.split(F.col("text").cast("string"), "\n", -1)).alias("line")).filter(counts_as_line(F.col("line")))
-    return lines.select("line", F.unhex(F.md5("line")).alias("key")).withColumn("id", F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long"))
+    return lines.select("line", F.md5("line").alias("hex")).withColumn("id", F.conv(F.substring("hex", 1, 16), 16, -10).cast("long"))
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, few: bool) -> DataFrame:
     """(key, id, line), each once, of the lines whose numbers ``wanted`` (id) asks for; ``few``: proven to be SMALL_SIDE at most."""
     side = F.broadcast(wanted) if few else wanted
-    return written(_numbered(docs).join(side, "id", "left_semi").groupBy("key").agg(F.first("id").alias("id"), F.first("line").alias("line")))
+    return written(_numbered(docs).join(side, "id", "left_semi").groupBy("hex").agg(F.first("id").alias("id"), F.first("line").alias("line")).select(F.unhex("hex").alias("key"), "id", "line"))
 
 
 def _candidates(docs: DataFrame, edits: int, meeting: int) -> DataFrame:
     """Pairs (u, v) of line numbers that may be linked, each once."""
-    met = written(_met(_indexed(docs, edits), edits, meeting if edits == 1 else 1 << 62))
+    met = written(_met(_indexed(docs, edits), edits, meeting))
     found = met.filter("v is not null").select("u", "v")
     if met.filter("own").isEmpty():
         return found.distinct()
@@ -362,27 +379,31 @@ def links(docs: DataFrame, edits: int = EDITS, meeting: int = MEETING) -> DataFr
 
 
 def dropped_lines(docs: DataFrame, edits: int = EDITS) -> tuple[DataFrame, DataFrame]:
-    """(row_key, numbers of equal lines, numbers of near lines) of rows that lose lines; (line key, number of links)."""
+    """(row_key, numbers of equal lines, numbers of near lines, number of links) of rows that lose lines (else both
+    are null) or have linked ones; (line key, number of links)."""
     lines = _lines(docs)
     found = written(links(docs, edits))
     first = written(lines.groupBy("key").agg(F.min("place").alias("first"), F.count("*").alias("n")))
     both = found.unionAll(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
     ends = both.join(first.select(F.col("key").alias("a"), F.col("first").alias("first_a")), "a").join(first.select(F.col("key").alias("b"), F.col("first").alias("first_b")), "b")
     near = written(ends.groupBy("a").agg(F.count("*").alias("n_links"), F.max((F.col("first_b") < F.col("first_a")).cast("int")).alias("late")).withColumnRenamed("a", "near_key"))
-    # Only lines that occur more than once, or that a different line precedes, can be dropped.
-    active = first.join(near, first.key == near.near_key, "left").filter("n > 1 or late = 1").select(F.col("key").alias("active_key"), "first", F.coalesce("late", F.lit(0)).alias("late"))
-    hits = lines.join(active, lines.key == active.active_key).filter((F.col("place") != F.col("first")) | (F.col("late") == 1))
-    gone = hits.groupBy("row_key").agg(
+    # Only lines that occur more than once, or that a different line precedes, can be dropped; these and linked ones are read.
+    active = first.join(near, first.key == near.near_key, "left").filter("n > 1 or n_links > 0").select(F.col("key").alias("active_key"), "first", F.coalesce("late", F.lit(0)).alias("late"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    hits = lines.join(active, lines.key == active.active_key).filter((F.col("place") != F.col("first")) | (F.col("n_links") > 0))
+    read = hits.groupBy("row_key").agg(
         F.collect_set(F.when(F.col("place") != F.col("first"), F.col("number"))).alias("equal"),  # lines of one text at most
-        F.collect_set(F.when(F.col("place") == F.col("first"), F.col("number"))).alias("near"),
+        F.collect_set(F.when((F.col("place") == F.col("first")) & (F.col("late") == 1), F.col("number"))).alias("near"),
+        F.sum("n_links").alias("n_links"),
     )
+    loses = F.size("equal") + F.size("near") > 0
+    gone = read.select("row_key", F.when(loses, F.col("equal")).alias("equal"), F.when(loses, F.col("near")).alias("near"), "n_links")
     return gone, near.select(F.col("near_key").alias("key"), "n_links")
 
 
 def deduplicated(docs: DataFrame, edits: int = EDITS) -> tuple[DataFrame, DataFrame]:
-    """``docs`` with ``__row_key``, ``__equal``, ``__near`` (line numbers that go) and ``__kept`` (what is left of the text)."""
+    """``docs`` with ``__row_key``, ``__equal``, ``__near`` (line numbers that go), ``__links`` and ``__kept`` (what is left of the text)."""
     gone, near = dropped_lines(docs, edits)
-    gone = gone.toDF("__gone_key", "__equal", "__near")
+    gone = gone.toDF("__gone_key", "__equal", "__near", "__links")
     text = F.col("text").cast("string")
     keyed = docs.withColumn("__row_key", F.xxhash64(F.col("doc_id").cast("long"), text))
     joined = keyed.join(gone, keyed["__row_key"] == gone["__gone_key"], "left").drop("__gone_key")
@@ -393,18 +414,16 @@ def deduplicated(docs: DataFrame, edits: int = EDITS) -> tuple[DataFrame, DataFr
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: lines that count, equal and near ones that go, links of its lines, digest of what is left."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    done, near = deduplicated(docs)
-    lines = _lines(docs)
-    linked = lines.join(near, "key").groupBy("row_key").agg(F.sum("n_links").alias("n_links")).toDF("linked_key", "n_links")
+    done, _ = deduplicated(docs)
     copies = docs.groupBy(F.xxhash64(F.col("doc_id").cast("long"), "text").alias("copy_key")).agg(F.count("*").alias("copies")).filter("copies > 1")
     return (
-        done.join(linked, done["__row_key"] == linked.linked_key, "left").join(copies, F.col("__row_key") == F.col("copy_key"), "left")
+        done.join(copies, F.col("__row_key") == F.col("copy_key"), "left")
         .select(
             F.col("doc_id").cast("long").alias("doc_id"),
             F.coalesce(F.size(F.filter(F.split("text", "\n", -1), counts_as_line)), F.lit(0)).cast("long").alias("n_lines"),
             F.coalesce(F.size("__equal"), F.lit(0)).cast("long").alias("n_equal_dropped"),
             F.coalesce(F.size("__near"), F.lit(0)).cast("long").alias("n_near_dropped"),
-            F.floor(F.coalesce("n_links", F.lit(0)) / F.coalesce("copies", F.lit(1))).cast("long").alias("n_links"),
+            F.floor(F.coalesce("__links", F.lit(0)) / F.coalesce("copies", F.lit(1))).cast("long").alias("n_links"),
             F.sha2(F.coalesce("__kept", F.lit("")), 256).alias("kept_sha256"),
         )
     )
