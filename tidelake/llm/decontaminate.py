@@ -8,7 +8,9 @@ of eight shingles, joined pairwise. Candidates are verified by exact containment
 shingles that the whole document holds.
 
 A window of an item that is contained to 0.8 agrees with the item under one function with a probability of 0.25 at
-least (the item at the low end of its class), so that 64 functions miss it with one of 1e-8.
+least (the item at the low end of its class), so that 64 functions miss it with one of 1e-8. That doesn't hold for the
+first class, which has all items of 1 to 16 shingles: of a few shingles, an item is the smaller part of its window and
+is missed more often.
 
 The items of the benchmark are sent to the executors in blocks of bounded size (``BLOCK_BYTES``), one pass over the
 documents for each block; documents never move.
