@@ -8,12 +8,14 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.conftest import frame, prose
-from tidelake.llm import components, line_dedup, lm_scoring, near_dedup, quality_rules
+from tidelake.llm import common, components, line_dedup, lm_scoring, near_dedup, quality_rules
 
 
 def tally(rows):
@@ -136,10 +138,10 @@ def test_linked_lines_meet(a, edits):
     s, t = sorted([a, b], key=len)
     for k in (1, 2, 3):
         if s != t and len(s) > k and edit(s, t) <= k:
-            assert meet(s, t, k, 0)
+            assert meet(s, t, k)
 
 
-def meet(s, t, k, parent):
+def meet(s, t, k, parent=None):
     """Whether two lines share a key under which what is left of them shares one, and so on."""
     shared = {x for x, own, _, _ in line_dedup.pieces_of(s, k, parent) if own} & {x for x, _, _, _ in line_dedup.pieces_of(t, k, parent)}
     if not shared or max(len(s), len(t)) <= 2 * k:
@@ -149,6 +151,40 @@ def meet(s, t, k, parent):
     )
 
 
+def spark_hash(data, *before):
+    """xxhash64 of a string as Spark has it, after other values (a long, an int, a string)."""
+    seed = 42
+    for x in (*before, data):
+        if x is not None:
+            raw = x if isinstance(x, bytes) else x.to_bytes(8, "little", signed=True) if not isinstance(x, np.int32) else int(x).to_bytes(4, "little", signed=True)
+            seed = xxhash.xxh64_intdigest(raw, seed)
+    return seed
+
+
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def key_of_row(i, t):
+    data = None if t is None else t.encode()
+    return b"".join(spark_hash(data, *before, i).to_bytes(8, "big") for before in ((), (np.int32(1),)))
+
+
+def linked_lines(spark, data, edits, **kw):
+    docs = frame(spark, data)
+    name = {signed(spark_hash(x.encode())): x for _, t in data for x in t.split("\n")}
+    got = line_dedup.links(docs, common.written(line_dedup._lines(docs)), edits, **kw).collect()
+    out = {tuple(sorted((name[x.hi_a], name[x.hi_b]), reverse=True)) for x in got}
+    assert len(out) == len(got)
+    return out
+
+
+def test_row_key(spark, texts):
+    data = [x for x in texts] + [(7, None), (-1, "")]
+    got = frame(spark, data).select("doc_id", "text", common.row_key().alias("k")).collect()
+    assert all(bytes(r.k) == key_of_row(r.doc_id, r.text) for r in got)
+
+
 @pytest.mark.parametrize("batch", [16, 10_000])
 def test_links_under_crowded_keys(spark, batch):
     """Many lines with a common heading: the keys of the heading are split until few lines meet."""
@@ -160,14 +196,12 @@ def test_links_under_crowded_keys(spark, batch):
     lines = [heading + t for t in tails]
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     try:
-        got = line_dedup.links(frame(spark, [(k, "\n".join(lines[k % 3 :: 3])) for k in range(5)]), edits, meeting=8).collect()
+        got = linked_lines(spark, [(k, "\n".join(lines[k % 3 :: 3])) for k in range(5)], edits, meeting=8)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    name = {hashlib.md5(x.encode()).digest(): x for x in lines}
     # A common heading doesn't change the distance.
     want = {(heading + x, heading + y) for i, x in enumerate(tails) for y in tails[:i] if abs(len(x) - len(y)) <= edits and edit(x, y) <= edits}
-    assert len(want) > 100 and len(got) == len(want)
-    assert {tuple(sorted((name[bytes(x.a)], name[bytes(x.b)]), reverse=True)) for x in got} == want
+    assert len(want) > 100 and got == want
 
 
 def test_replaced_word_in_long_line(spark, tmp_path):
@@ -175,11 +209,20 @@ def test_replaced_word_in_long_line(spark, tmp_path):
     line = prose(900, 40)
     changed = line[:130] + "zz" + line[132:]
     assert len(line) > 270 and edit(line, changed) == 2
-    data = [(1, line), (2, changed), (3, prose(901, 40))]
+    data = [(1, line), (2, changed), (3, prose(901, 40)), (4, None), (5, " ")]
     frame(spark, data).write.parquet(f"{tmp_path}/documents.parquet")
-    got = {x.doc_id: (x.n_near_dropped, x.n_links) for x in line_dedup.op6_line_dedup(spark, str(tmp_path)).collect()}
-    assert got == {1: (0, 1), 2: (1, 1), 3: (0, 0)}
-    assert {x.doc_id: x.text for x in line_dedup.stage(spark, frame(spark, data), "").collect()} == {1: line, 2: "", 3: data[2][1]}
+    got = {x.doc_id: (x.n_near_dropped, x.n_links, x.class_id) for x in line_dedup.op6_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: (0, 1, 1), 2: (1, 1, 1), 3: (0, 0, 3), 4: (0, 0, 4), 5: (0, 0, 5)}
+    # A row that repeats others in all its lines goes; rows that had no text stay as they are.
+    assert {x.doc_id: x.text for x in line_dedup.stage(spark, frame(spark, data), "").collect()} == {1: line, 3: data[2][1], 4: None, 5: " "}
+
+
+def test_very_long_lines(spark):
+    """Lines beyond the rolling hash's reach, one of them with letters of several bytes."""
+    for base in ("abcdefghij klmnopq " * 1500, "日é😀 x" * 6000):
+        line = prose(950, 20) + base
+        data = [(1, line), (2, line[:9000] + "Z" + line[9001:] + "!"), (3, "Q" + line[:20000] + "W" + line[20000:])]
+        assert linked_lines(spark, data, 2) == {tuple(sorted((line, t), reverse=True)) for t in (data[1][1], data[2][1])}
 
 
 def test_crowded_keys_with_two_edits(spark, monkeypatch):
@@ -190,70 +233,93 @@ def test_crowded_keys_with_two_edits(spark, monkeypatch):
     tails = sorted({*tails, *(t[:2] + r.choice("0x") + t[2 + r.randrange(2) : 5] + t[5 + r.randrange(2) :] for t in tails[::2])})
     heading = "Posted to the list, no. "
     lines = [heading + t for t in tails]
-    got = line_dedup.links(frame(spark, [(k, "\n".join(lines[k % 3 :: 3])) for k in range(4)]), 2, meeting=12).collect()
-    name = {hashlib.md5(x.encode()).digest(): x for x in lines}
+    got = linked_lines(spark, [(k, "\n".join(lines[k % 3 :: 3])) for k in range(4)], 2, meeting=12)
     want = {(heading + x, heading + y) for i, x in enumerate(tails) for y in tails[:i] if abs(len(x) - len(y)) <= 2 and edit(x, y) <= 2}
-    assert calls and len(want) > 40 and len(got) == len(want)
-    assert {tuple(sorted((name[bytes(x.a)], name[bytes(x.b)]), reverse=True)) for x in got} == want
+    assert len(calls) > 0 and len(want) > 40 and got == want
 
 
 def brute_lines(data, edits):
-    order = sorted(range(len(data)), key=lambda k: (data[k][0] is None, data[k][0] or 0))
-    counts = lambda line: len(line.strip(" ")) >= line_dedup.MIN_CHARS
-    first = {}
+    """For each row: id, lines that count, equal and near ones that go, links, class, digest of what is kept; and the texts kept."""
+    counts = lambda line: bool(line.encode().split())
+    keys = [key_of_row(i, t) for i, t in data]
+    order = sorted(range(len(data)), key=lambda k: (data[k][0] is None, data[k][0] or 0, keys[k]))
+    first, holders = {}, collections.defaultdict(list)
     for k in order:
         for number, line in enumerate((data[k][1] or "").split("\n")):
             if counts(line):
-                first.setdefault(line, (data[k][0], data[k][1], number))
+                first.setdefault(line, (keys[k], number))
+                holders[line].append(k)
     names = list(first)
-    late, degree = set(), collections.Counter()
-    for x in range(len(names)):
+    long = [x for x in names if len(x.strip(" ")) >= line_dedup.MIN_CHARS]
+    late, degree, joined = set(), collections.Counter(), [*holders.values()]
+    for x in range(len(long)):
         for y in range(x):
-            if abs(len(names[x]) - len(names[y])) <= edits and edit(names[x], names[y]) <= edits:
-                late.add(names[x])
-                degree[names[x]] += 1
-                degree[names[y]] += 1
-    out = []
-    for i, t in data:
+            if abs(len(long[x]) - len(long[y])) <= edits and edit(long[x], long[y]) <= edits:
+                late.add(long[x])
+                degree[long[x]] += 1
+                degree[long[y]] += 1
+                joined.append([holders[long[x]][0], holders[long[y]][0]])
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for rows in joined:
+        for k in rows:
+            parent[root(keys[k])] = root(keys[rows[0]])
+    least = {}
+    for k in order:
+        least.setdefault(root(keys[k]), data[k][0])
+    out, kept_texts = [], []
+    for k, (i, t) in enumerate(data):
         lines, kept, equal, near, links = (t or "").split("\n"), [], 0, 0, 0
         for number, line in enumerate(lines):
             if counts(line):
                 links += degree[line]
-                if first[line] != (i, t, number):
+                if first[line] != (keys[k], number):
                     equal += 1
                     continue
                 if line in late:
                     near += 1
                     continue
             kept.append(line)
-        out.append((i, sum(map(counts, lines)), equal, near, links, hashlib.sha256("\n".join(kept).encode()).hexdigest()))
-    return out
+        out.append((i, sum(map(counts, lines)), equal, near, links, least[root(keys[k])], hashlib.sha256("\n".join(kept).encode()).hexdigest()))
+        text = "\n".join(kept)
+        kept_texts.append(t if not equal + near else text if counts(text) else ...)
+    return out, kept_texts
 
 
 @pytest.mark.parametrize("edits", [1, 2])
 def test_line_dedup(spark, texts, edits, tmp_path, monkeypatch):
-    # Rows without an id are ordered by a hash, which brute force doesn't know: one of them at most.
     monkeypatch.setattr(line_dedup, "GROUP", 7)
-    data, r = [x for x in texts if x[0] is not None or x[1] is None], random.Random(7)
+    monkeypatch.setattr(line_dedup, "NEIGHBOURS", 4)
+    data, r = list(texts), random.Random(7)
     lines = [prose(300 + k, 6) for k in range(12)]
     for k in range(60):
         line = r.choice(lines)
         for _ in range(r.randrange(3)):
             at = r.randrange(len(line))
             line = line[:at] + r.choice(["", "é", "zz"]) + line[at + r.randrange(2) :]
-        data.append((500 + k, "\n".join([prose(400 + k, 8), line, "short", line if k % 7 == 0 else ""])))
-    done, near = line_dedup.deduplicated(frame(spark, data), edits)
-    assert tally((x.doc_id, x["__kept"] or "") for x in done.collect()) and near.count() > 5
-    want = brute_lines(data, edits)
-    kept = tally((w[0], w[5]) for w in want)
-    assert tally((x.doc_id, hashlib.sha256((x["__kept"] or "").encode()).hexdigest()) for x in done.collect()) == kept
+        data.append((500 + k if k % 9 else None, "\n".join([prose(400 + k, 8), line, "short", line if k % 7 == 0 else ""])))
+    judged, found = line_dedup.judged_lines(frame(spark, data), edits)
+    assert found.count() > 5
+    want, kept = brute_lines(data, edits)
+    got = line_dedup.deduplicated(frame(spark, data), judged).collect()
+    assert tally((x.doc_id, hashlib.sha256((x["__kept"] or "").encode()).hexdigest()) for x in got) == tally((w[0], w[-1]) for w in want)
     if edits == line_dedup.EDITS:
         frame(spark, data).write.parquet(f"{tmp_path}/documents.parquet")
-        assert tally(tuple(x) for x in line_dedup.op6_line_dedup(spark, str(tmp_path)).collect()) == tally(want)
+        got = line_dedup.op6_line_dedup(spark, str(tmp_path))
+        assert got.columns == ["doc_id", "n_lines", "n_equal_dropped", "n_near_dropped", "n_links", "class_id", "kept_sha256"]
+        assert tally(tuple(x) for x in got.collect()) == tally(want)
         staged = line_dedup.stage(spark, frame(spark, data), "")
-        assert staged.columns == frame(spark, []).columns and staged.filter("text is null").count() == sum(t is None for _, t in data)
+        assert staged.columns == frame(spark, []).columns
+        assert tally((x.doc_id, x.text) for x in staged.collect()) == tally((i, t) for (i, _), t in zip(data, kept, strict=True) if t is not ...)
         frame(spark, []).write.parquet(f"{tmp_path}/none/documents.parquet")
         assert line_dedup.op6_line_dedup(spark, f"{tmp_path}/none").count() == 0
+        with pytest.raises(ValueError):
+            line_dedup.deduplicated(frame(spark, data).withColumn("__kept", F.lit(1)), judged)
 
 
 def test_lm_scores(spark, texts, monkeypatch, tmp_path):
@@ -313,7 +379,8 @@ def test_pipeline(spark, texts, tmp_path):
     rows = [(i, t) for i, t in data if quality_rules.measure((t or "").encode(), powers)[6]]
     left = spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string")
     done = [(r.doc_id, r.text) for r in line_dedup.stage(spark, left, "").collect()]
-    assert tally((i, hashlib.sha256((t or "").encode()).hexdigest()) for i, t in done) == tally((w[0], w[5]) for w in brute_lines(rows, line_dedup.EDITS))
+    assert tally(done) == tally((i, t) for (i, _), t in zip(rows, brute_lines(rows, line_dedup.EDITS)[1], strict=True) if t is not ...)
+    assert all(t.split() for _, t in done)  # no row without text goes on
     kept = {w[0] for w in brute_groups(done, 5) if w[0] == w[2]}
     alone = {i: t for i, t in done if i in kept}
     clean = {i: t for i, t in alone.items() if 100 * len(shingles(item, 5) & shingles(t, 5)) < 80 * len(shingles(item, 5))}

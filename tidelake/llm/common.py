@@ -6,7 +6,8 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step looks at, so that a worker's memory doesn't follow the batch size.
 CHUNK_BYTES = 1 << 20
@@ -20,10 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, named by ``spark.checkpoint.dir``.
 
-    Only where the setting is missing (a local session, as in tests) a temporary folder takes its place.
+    A temporary folder takes its place only in a local session, as in tests; on a cluster the setting must be there.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tidelake-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -34,7 +37,32 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Deletes tables that ``written`` made, once nothing that is still to be computed reads them."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.written_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Rows of a few numbers each up to which a table is sent to all executors: about 20 MB.
+SMALL_SIDE = 200_000
+
+
+def if_small(df: DataFrame, rows: int = SMALL_SIDE) -> DataFrame:
+    """A written table, marked for broadcasting if its row count, read from the files' footers, proves it small."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def row_key(id_: str = "doc_id", text: str = "text") -> Column:
+    """128 bits that stand for a row's id (a long) and text; rows with equal ones are alike."""
+    halves = [F.lpad(F.hex(F.xxhash64(*start, F.col(id_).cast("long"), F.col(text).cast("string"))), 16, "0") for start in ((), (F.lit(1),))]
+    return F.unhex(F.concat(*halves))
 
 
 def byte_texts(column) -> list[bytes | None]:

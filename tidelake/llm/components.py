@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelake.llm.common import written
+from tidelake.llm.common import dropped, written
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -41,5 +41,6 @@ def components(edges: DataFrame) -> DataFrame:
         mark = tuple(seen)
         if not seen["n"]:
             break
-        now = written(_stars(_stars(now, True), False))
+        before, now = now, written(_stars(_stars(now, True), False))
+        dropped(before)
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
