@@ -86,6 +86,21 @@ def test_near_links_survive_without_stars(spark, crowd, monkeypatch):
     assert tally((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == tally(brute_groups(crowd, 4))
 
 
+@pytest.mark.parametrize("n, shared", [(5, 5), (9, 8), (27, 24), (90, 80), (270, 240), (900, 800)])
+def test_signatures_find_similar_sets(n, shared):
+    """Pairs of sets of any size at the threshold share a bucket and pass the signature filter; bins agree as often as sets do."""
+    signer, r = near_dedup.Signer(), np.random.default_rng(n)
+    agreed, trials = [], 400
+    with np.errstate(over="ignore"):
+        for _ in range(trials):
+            x = r.integers(0, 1 << 63, 2 * n - shared, np.uint64) * np.uint64(2)
+            a, b = (signer.values(np.sort(y)) for y in (x[:n], np.r_[x[:shared], x[n:]]))
+            assert (signer.keys(a) == signer.keys(b)).any()
+            agreed.append((a == b).sum())
+    assert min(agreed) >= near_dedup.LEAST_AGREEING
+    assert abs(np.mean(agreed) / near_dedup.BINS - shared / (2 * n - shared)) < 0.02
+
+
 def test_near_empty_and_stage(spark, empty, crowd):
     assert near_dedup.groups(empty).count() == 0
     kept = near_dedup.stage(spark, frame(spark, crowd), "")

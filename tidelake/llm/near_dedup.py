@@ -3,24 +3,27 @@ candidate edges, exact confirmation (operator 8).
 
 A text's set holds the distinct shingles of ``words`` words (with fewer words, the whole sequence as one). Texts with
 equal sets collapse to one node first, so copies cost nothing afterwards. A node's signature has ``BINS`` values: the
-least hash in each bin, empty bins filled by Shrivastava's optimal densification ("Optimal Densification for Fast and
-Accurate Minwise Hashing", 2017). Sets that aren't much larger than the number of bins (``SMALL``) would repeat the same
-few values, so they take as many independent permutations of which each is cheap for a small set; both kinds of
-signature are made for sets between the two regimes, so that every pair that can be linked shares a kind.
+least hash in each bin, empty bins filled by optimal densification (Shrivastava, "Optimal Densification for Fast and
+Accurate Minwise Hashing", 2017): each empty bin goes through the bins in an order of its own until it meets a full one.
+The same holds for sets of any size: two bins agree with a probability of the sets' similarity, and the fewer bins are
+full, the more evenly their elements are spread over the others.
 
 Bands of ``ROWS`` values make buckets. In a bucket of up to ``FEW`` nodes all pairs are candidates; in a larger one the
 star around the node with the most copies, so that candidates grow in proportion to the bucket. Candidates whose
-signatures agree too little (``LEAST_AGREEING``) can't be linked but with a chance of about 1e-12, the rest is confirmed
-on the full sets. A larger bucket whose nodes are then still in several components is gone through again, in blocks of
-at most ``BLOCK`` nodes: nodes of different components are compared by signature and confirmed on the full sets right
-there, each pair in the first bucket that it shares, and a link leaves the task only if it joins two components. So no
-link between components is lost, and nothing is spent where a bucket is one component already.
+signatures agree too little (``LEAST_AGREEING``) can't be linked but with a chance that the tests bound, the rest is
+confirmed on the full sets. A larger bucket whose nodes are then still in several components is gone through again, in
+blocks of at most ``BLOCK`` nodes: first signatures alone tell which nodes may be linked with one of another component,
+then only these nodes' texts are sent, and confirmed on the full sets right there, each pair in the first bucket that it
+shares. A link leaves the task only if it joins two components. So no link between components is lost, and nothing is
+spent where a bucket is one component already.
 
-With similarity 0.8, a pair misses all bands with a probability of (1 - 0.8**5)**40 = 1.2e-7.
+With similarity 0.8, a pair misses all bands with a probability of (1 - 0.8**5)**40 = 1.2e-7 if bins are independent. As
+measured for pairs of exactly 0.8 (``tests/llm/test_corpus_operators.py`` repeats it on fewer), see the README.
 
 Defined results: a null, empty or blank text has an empty set, is linked with nothing and is its own component. Texts
 whose id is null are nodes like others but give no component its id; a component without any id has a null one, and its
-rows are kept. Rows with equal id and text are alike. Only ids and texts are read, so extra columns can't clash.
+rows are kept. Rows with equal id and text are alike; ``stage`` keeps one of them. An empty table gives an empty one. Only
+ids and texts are read, so extra columns can't clash; ``stage`` refuses a column ``__row_key``.
 """
 
 from __future__ import annotations
@@ -30,23 +33,18 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tidelake.llm.common import byte_texts, mixed, shingle_hashes, sliced, table, word_hashes, written
+from tidelake.llm.common import byte_texts, dropped, if_small, mixed, row_key, shingle_hashes, sliced, table, word_hashes, written
 from tidelake.llm.components import components
 
 PERCENT = 80
 BANDS, ROWS = 40, 5
 BINS = BANDS * ROWS
-SMALL = 2 * BINS
 FEW = 6
 #: Of BINS signature bytes; 0.8 of them agree on average, 0.6 is seven standard deviations less.
 LEAST_AGREEING = BINS * 6 // 10
 #: Nodes of a bucket that one task holds twice at most.
 BLOCK = 1024
-_PART = BINS + 4 * BANDS  # bytes of a kind in a mark
-#: Nodes up to which their keys are sent to the texts, beyond which texts are dealt out to the nodes.
-SMALL_NODES = 200_000
 
 
 class Signer:
@@ -54,35 +52,25 @@ class Signer:
 
     def __init__(self) -> None:
         random = np.random.default_rng(11)
-        self.multipliers = random.integers(1, 1 << 62, BINS, np.uint64) * np.uint64(2) + np.uint64(1)
         self.edges = np.array([((k << 64) // BINS) for k in range(BINS)], np.uint64)
-        self.probes = random.integers(0, BINS, (64, BINS))
+        #: Place of each bin (column) in the order in which an empty bin (row) goes through them.
+        self.place = np.argsort(random.random((BINS, BINS)), axis=1).astype(np.int16)
         self.weights = random.integers(1, 1 << 62, ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
         self.band = random.integers(1, 1 << 62, BANDS, np.uint64)
 
-    def by_bins(self, found: np.ndarray) -> np.ndarray:
-        """``found``: sorted distinct hashes."""
+    def values(self, found: np.ndarray) -> np.ndarray:
+        """A value for each bin. ``found``: sorted distinct hashes, one at least."""
         at = np.searchsorted(found, self.edges)
-        ends = np.append(at[1:], len(found))
-        full = at < ends
-        values = np.where(full, found[np.minimum(at, len(found) - 1)], np.uint64(0))
-        for probe in self.probes:
-            if full.all():
-                break
-            open_bins = np.flatnonzero(~full)
-            source = probe[open_bins]
-            # Only bins that were full at the start lend their values.
-            lends = at[source] < ends[source]
-            values[open_bins[lends]] = values[source[lends]]
-            full[open_bins[lends]] = True
+        full = at < np.append(at[1:], len(found))
+        values = found[np.minimum(at, len(found) - 1)]
+        if not full.all():
+            lends, lacks = np.flatnonzero(full), np.flatnonzero(~full)
+            values[lacks] = values[lends[self.place[np.ix_(lacks, lends)].argmin(axis=1)]]
         return values
 
-    def by_permutations(self, found: np.ndarray) -> np.ndarray:
-        return mixed(found[None, :] * self.multipliers[:, None]).min(axis=1)
-
-    def keys(self, values: np.ndarray, kind: int) -> np.ndarray:
+    def keys(self, values: np.ndarray) -> np.ndarray:
         """A key for each band."""
-        return mixed((values.reshape(BANDS, ROWS) * self.weights).sum(axis=1) + self.band + np.uint64(kind)).view(np.int64)
+        return mixed((values.reshape(BANDS, ROWS) * self.weights).sum(axis=1) + self.band).view(np.int64)
 
 
 def shingle_set(text: bytes | None, words: int) -> np.ndarray:
@@ -95,7 +83,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, row_key, node (digest of the set, null if it is empty), n_shingles, keys and signature bytes of each row."""
     import struct
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select("doc_id", row_key().alias("row_key"), "text")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -116,46 +104,34 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                             marks.append(None)
                             continue
                         nodes.append(xxhash.xxh3_128_digest(found.tobytes()))
-                        own, mark = [], b""
-                        for kind, applies, sign in ((1, n < SMALL * 5 // 4, signer.by_permutations), (2, n >= SMALL, signer.by_bins)):
-                            if applies:
-                                values = sign(found)
-                                own.append(signer.keys(values, kind))
-                                mark += mixed(values).astype(np.uint8).tobytes() + own[-1].astype(np.uint32).tobytes()
-                        keys.append(np.concatenate(own))
-                        marks.append(struct.pack("<i", n) + mark)
+                        values = signer.values(found)
+                        keys.append(signer.keys(values))
+                        marks.append(struct.pack("<i", n) + mixed(values).astype(np.uint8).tobytes() + keys[-1].astype(np.uint32).tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), batch.column("row_key"), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary())],
                     names=["doc_id", "row_key", "node", "n_shingles", "keys", "mark"],
                 )
 
-    return rows.mapInArrow(run, "doc_id long, row_key long, node binary, n_shingles long, keys array<long>, mark binary")
+    return rows.mapInArrow(run, "doc_id long, row_key binary, node binary, n_shingles long, keys array<long>, mark binary")
 
 
 def _size(mark: bytes) -> int:
     return int.from_bytes(mark[:4], "little")
 
 
-def _kind(mark: bytes, kind: int) -> tuple[np.ndarray, np.ndarray] | None:
-    """Signature bytes and bucket keys (32 bits) of a kind; a mark holds the size, then the kinds that it has."""
-    n = _size(mark)
-    if kind == 1:
-        at = 4 if n < SMALL * 5 // 4 else None
-    else:
-        at = len(mark) - _PART if n >= SMALL else None
-    return None if at is None else (np.frombuffer(mark, np.uint8, BINS, at), np.frombuffer(mark[at + BINS : at + _PART], np.uint32))
+def _signature(mark: bytes) -> np.ndarray:
+    return np.frombuffer(mark, np.uint8, BINS, 4)
+
+
+def _keys(mark: bytes) -> np.ndarray:
+    """The low halves of the bucket keys; a mark holds the size, a byte of each value, then these."""
+    return np.frombuffer(mark, np.uint32, BANDS, 4 + BINS)
 
 
 def _may_link(a: bytes, b: bytes) -> bool:
     """Whether sizes and signatures leave a link possible."""
     n, m = _size(a), _size(b)
-    if 100 * min(n, m) < PERCENT * max(n, m):
-        return False
-    for kind in (1, 2):
-        x, y = _kind(a, kind), _kind(b, kind)
-        if x and y and int((x[0] == y[0]).sum()) >= LEAST_AGREEING:
-            return True
-    return False
+    return 100 * min(n, m) >= PERCENT * max(n, m) and int((_signature(a) == _signature(b)).sum()) >= LEAST_AGREEING
 
 
 def _similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -166,10 +142,11 @@ def _similar(a: np.ndarray, b: np.ndarray) -> bool:
 def texts_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, text) of the nodes asked for, each once."""
     keys = written(wanted.join(nodes.select("node", "row_key"), "node"))
-    rows = docs.select(F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("row_key"), F.col("text").cast("string").alias("text"))
-    if keys.count() <= SMALL_NODES:  # a checked bound of a few MB, so that no text moves but those asked for
-        keys = F.broadcast(keys)
-    return written(rows.join(keys, "row_key").dropDuplicates(["node"]).select("node", "text"))
+    rows = docs.select(row_key().alias("row_key"), F.col("text").cast("string").alias("text"))
+    # No text moves but those asked for, if these are few.
+    out = written(rows.join(if_small(keys), "row_key").dropDuplicates(["node"]).select("node", "text"))
+    dropped(keys)
+    return out
 
 
 def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
@@ -204,7 +181,9 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -
                         keep.append(_similar(own, shingle_set(b, words)))
                 yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return written(held.mapInArrow(similar, "u binary, v binary"))
+    out = written(held.mapInArrow(similar, "u binary, v binary"))
+    dropped(rest, texts)
+    return out
 
 
 def _pairs(members: DataFrame) -> DataFrame:
@@ -216,13 +195,51 @@ def _pairs(members: DataFrame) -> DataFrame:
     return all_pairs.unionAll(star.select(F.greatest("node", "centre").alias("u"), F.least("node", "centre").alias("v"))).distinct()
 
 
+class Block:
+    """Nodes of one pair of blocks of a bucket that may be linked across components. rows: (half, node, component, mark)."""
+
+    def __init__(self, key: int, rows: list[tuple]) -> None:
+        names = {c: k for k, c in enumerate(dict.fromkeys(r[2] for r in rows))}
+        self.components = len(names)
+        self.own = np.array([names[r[2]] for r in rows])
+        self.half = np.array([r[0] for r in rows])
+        self.crossing = self.half.min() != self.half.max()
+        self.sizes = np.array([_size(r[3]) for r in rows])
+        self.marks, self.keys = np.stack([_signature(r[3]) for r in rows]), np.stack([_keys(r[3]) for r in rows])
+        self.band = int(np.flatnonzero((self.keys == np.uint32(key & 0xFFFFFFFF)).all(axis=0))[0])
+
+    def pairs(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(row, rows of other components whose signatures leave a link possible, the likeliest first)."""
+        if self.components < 2:
+            return
+        main, rows = int(np.bincount(self.own).argmax()), np.arange(len(self.own))
+        for i in np.flatnonzero(self.own != main).tolist():
+            other = (self.own != self.own[i]) & ((self.own == main) | (rows > i))
+            other &= 100 * np.minimum(self.sizes, self.sizes[i]) >= PERCENT * np.maximum(self.sizes, self.sizes[i])
+            if self.crossing:
+                other &= self.half != self.half[i]
+            at = np.flatnonzero(other)
+            if self.band:  # a pair that shares an earlier bucket is compared there
+                at = at[~(self.keys[at, : self.band] == self.keys[i, : self.band]).any(axis=1)]
+            agree = (self.marks[at] == self.marks[i]).sum(axis=1)
+            at, agree = at[agree >= LEAST_AGREEING], agree[agree >= LEAST_AGREEING]
+            if len(at):
+                yield i, at[np.argsort(-agree, kind="stable")]
+
+
+def likely(key: int, rows: list[tuple]) -> list[tuple]:
+    """The rows that are in a pair which may be linked; their texts are needed."""
+    needed: set[int] = set()
+    for i, at in Block(key, rows).pairs():
+        needed.add(i)
+        needed.update(at.tolist())
+    return [rows[k] for k in sorted(needed)]
+
+
 def resolved(key: int, rows: list[tuple], words: int) -> list[tuple[bytes, bytes]]:
-    """Links that join components of one block pair of a bucket. rows: (half, node, component, mark, text)."""
-    names = {c: k for k, c in enumerate(dict.fromkeys(r[2] for r in rows))}
-    if len(names) < 2:
-        return []
-    own = np.array([names[r[2]] for r in rows])
-    parent = list(range(len(names)))
+    """Links that join components of one pair of blocks. rows: (half, node, component, mark, text)."""
+    block = Block(key, rows)
+    parent = list(range(block.components))
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -230,16 +247,6 @@ def resolved(key: int, rows: list[tuple], words: int) -> list[tuple[bytes, bytes
             x = parent[x]
         return x
 
-    half = np.array([r[0] for r in rows])
-    crossing = half.min() != half.max()
-    low = np.uint32(key & 0xFFFFFFFF)
-    for kind in (1, 2):
-        found = [_kind(r[3], kind) for r in rows]
-        if all(f is not None and low in f[1] for f in found):
-            break
-    marks, keys = np.stack([f[0] for f in found]), np.stack([f[1] for f in found])
-    band = int(np.flatnonzero((keys == low).all(axis=0))[0])
-    sizes = np.array([_size(r[3]) for r in rows])
     sets: dict[int, np.ndarray] = {}
 
     def set_of(i: int) -> np.ndarray:
@@ -247,19 +254,10 @@ def resolved(key: int, rows: list[tuple], words: int) -> list[tuple[bytes, bytes
             sets[i] = shingle_set(rows[i][4], words)
         return sets[i]
 
-    main, out = int(np.bincount(own).argmax()), []
-    for i in np.flatnonzero(own != main).tolist():
-        other = (own != own[i]) & ((own == main) | (np.arange(len(rows)) > i))
-        other &= 100 * np.minimum(sizes, sizes[i]) >= PERCENT * np.maximum(sizes, sizes[i])
-        if crossing:
-            other &= half != half[i]
-        at = np.flatnonzero(other)
-        if band:  # a pair that shares an earlier bucket is compared there
-            at = at[~(keys[at, :band] == keys[i, :band]).any(axis=1)]
-        agree = (marks[at] == marks[i]).sum(axis=1)
-        at, agree = at[agree >= LEAST_AGREEING], agree[agree >= LEAST_AGREEING]
-        for j in at[np.argsort(-agree, kind="stable")].tolist():
-            a, b = root(own[i]), root(own[j])
+    out = []
+    for i, at in block.pairs():
+        for j in at.tolist():
+            a, b = root(block.own[i]), root(block.own[j])
             if a != b and _similar(set_of(i), set_of(j)):
                 parent[a] = b
                 out.append((rows[i][1], rows[j][1]))
@@ -267,38 +265,59 @@ def resolved(key: int, rows: list[tuple], words: int) -> list[tuple[bytes, bytes
 
 
 def _joining(members: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """Links that the stars of large buckets didn't find: (u, v) of nodes in different components."""
+    """Links that the stars of large buckets didn't find: (u, v) of nodes in different components; a written table."""
     named = members.filter(F.col("size") > FEW).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = named.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("key")
+    # The centre's component stands for the bucket; a bucket with another one is gone through.
+    of_centre = labels.select(F.col("node").alias("centre"), F.col("component").alias("centre_component"))
+    split = named.join(of_centre, "centre", "left").filter(F.col("component") != F.coalesce("centre_component", "centre")).select("key").distinct()
     named = written(named.join(split, "key").select("key", "node", "component", "size"))
-    texts = texts_of(named.select("node").distinct(), nodes, docs).join(nodes.select("node", "mark"), "node")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     dealt = (
-        named.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+        named.join(nodes.select("node", "mark"), "node")
+        .withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
         .withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("key", F.least("block", "with").alias("a"), F.greatest("block", "with").alias("b"), F.when(F.col("block") > F.col("with"), 1).otherwise(0).alias("half"), "node", "component")
-        .join(texts, "node").repartition(F.col("key"), F.col("a"), F.col("b")).sortWithinPartitions("key", "a", "b")
+        .select("key", F.least("block", "with").alias("a"), F.greatest("block", "with").alias("b"), F.when(F.col("block") > F.col("with"), 1).otherwise(0).alias("half"), "node", "component", "mark")
     )
+    needed = written(_by_block(dealt, lambda key, rows: likely(key, rows), None))
+    texts = texts_of(needed.select("node").distinct(), nodes, docs)
+    with_texts = needed.join(texts, "node").select("key", "a", "b", "half", "node", "component", "mark", "text")
+    out = written(_by_block(with_texts, None, lambda key, rows: resolved(key, rows, words)))
+    dropped(named, needed, texts)
+    return out
+
+
+def _by_block(rows: DataFrame, keep, link) -> DataFrame:
+    """Applies a function to the rows of each pair of blocks: ``keep`` gives rows again, ``link`` gives (u, v)."""
+    names = rows.columns
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        last, held, out = None, [], []
+        last, held = None, []
+
+        def done() -> pa.RecordBatch:
+            if keep is not None:
+                out = [(*last, *r) for r in keep(last[0], held)]
+                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+                return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [()] * 7, kinds, strict=True)], names=names)
+            out = link(last[0], held)
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], names=["u", "v"])
+
         with np.errstate(over="ignore"):
             for whole in batches:
                 for batch in sliced(whole, 500):
-                    columns = [batch.column(c).to_pylist() for c in ("key", "a", "b", "half", "node", "component", "mark")]
-                    for key, a, b, *rest, text in zip(*columns, byte_texts(batch.column("text")), strict=True):
+                    columns = [byte_texts(batch.column(c)) if c == "text" else batch.column(c).to_pylist() for c in names]
+                    for key, a, b, *rest in zip(*columns, strict=True):
                         if (key, a, b) != last:
                             if held:
-                                out += resolved(last[0], held, words)
+                                yield done()
                             last, held = (key, a, b), []
-                        held.append((*rest, text))
+                        held.append(tuple(rest))
             if held:
-                out += resolved(last[0], held, words)
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], names=["u", "v"])
+                yield done()
 
-    return dealt.select("key", "a", "b", "half", "node", "component", "mark", "text").mapInArrow(run, "u binary, v binary")
+    ordered = rows.repartition(F.col("key"), F.col("a"), F.col("b")).sortWithinPartitions("key", "a", "b")
+    return ordered.mapInArrow(run, rows.schema if keep is not None else "u binary, v binary")
 
 
 def links(docs: DataFrame, rows: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
@@ -307,17 +326,18 @@ def links(docs: DataFrame, rows: DataFrame, words: int) -> tuple[DataFrame, Data
     nodes = written(
         rows.filter("node is not null").groupBy("node").agg(F.min("row_key").alias("row_key"), F.max("mark").alias("mark"), F.max("keys").alias("keys"), F.count("*").alias("copies"))
     )
-    bucket = Window.partitionBy("key")
     spread = nodes.select(F.explode("keys").alias("key"), "node", "copies")
-    members = written(
-        spread.select("key", "node", F.count("*").over(bucket).alias("size"), F.max(F.struct("copies", "node")).over(bucket)["node"].alias("centre")).filter("size > 1")
-    )
+    # Counted in part before the shuffle; the join has one row for a bucket on this side, so that a large one can be split.
+    buckets = spread.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    centres = spread.join(buckets, "key").filter(F.col("size") > FEW).groupBy("key").agg(F.max(F.struct("copies", "node")).alias("most")).select("key", F.col("most.node").alias("centre"))
+    members = written(spread.join(buckets, "key").join(centres, "key", "left").select("key", "node", "size", "centre"))
     found = confirmed(_pairs(members), nodes, docs, words)
     labels = written(components(found))
-    more = written(_joining(members, labels, nodes, docs, words))
+    more = _joining(members, labels, nodes, docs, words)
     if not more.isEmpty():
-        found = written(found.unionAll(more))
+        found = found.unionAll(more)
         labels = written(components(found))
+    dropped(nodes, members)
     return found, labels
 
 
@@ -341,7 +361,9 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, by shingles of five words; of equal rows one."""
     keep = groups(docs).filter("kept").select(F.col("row_key").alias("kept_key")).distinct()
-    keyed = docs.withColumn("__row_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    if "__row_key" in docs.columns:
+        raise ValueError("a column __row_key is a name of this operator")
+    keyed = docs.withColumn("__row_key", row_key())
     return keyed.join(keep, keyed["__row_key"] == keep.kept_key, "left_semi").dropDuplicates(["__row_key"]).select(*docs.columns)
 
 
