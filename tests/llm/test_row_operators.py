@@ -11,6 +11,8 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from tidelake.llm import byte_bpe, common, decontaminate, license_scan, quality_rules, secret_scan, toxicity, url_filter
 
@@ -93,6 +95,40 @@ def test_secret_spans(docs, texts):
     assert any(any(x) for x in got.values())
 
 
+@pytest.mark.parametrize("rule", secret_scan.RULES, ids=lambda r: r.kind)
+def test_trigram_queries(rule):
+    """Every match of a pattern fulfils the query derived from it, and no alternative is there without a reason."""
+    query, met = rule.query(), set()
+    assert bool(query) == (rule.kind != "hex")
+
+    @settings(max_examples=300, deadline=None, database=None)
+    @given(st.from_regex(rule.pattern, fullmatch=True))
+    def holds(text):
+        folded = secret_scan.folded(text)
+        fulfilled = [a for a in query if all(t in folded for t in a)]
+        assert fulfilled or not query
+        met.update(fulfilled)
+
+    holds()
+    assert len(met) >= min(3, len(query))
+
+
+def test_trigram_query_of_any_pattern():
+    query = lambda p: sorted(sorted(x) for x in secret_scan.trigram_query(p))
+    assert query("abcd") == [["abc", "bcd"]] and query("AB") == [[]] and query("(abc|xyz)+q*") == [["abc"], ["xyz"]]
+    assert query("ab?cd") == [["abc", "bcd"], ["acd"]] and query("abc|d") == [[]] and query("a.c") == [[]]
+    assert query("foo[0-9]+bar") == [["bar", "foo"]] and query("[xy]yz") == [["xyz"], ["yyz"]] and query("(?:ab){2}") == [[]]
+
+
+def test_many_spans_in_one_text(spark):
+    """The work grows with the number of matches, not with its square."""
+    n = 40_000
+    text = "é ".join(f"{k:016x}" for k in range(n)) + " token=" + "Z" * 14
+    got = secret_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert [(x.start, x.end) for x in got.hex] == [(18 * k, 18 * k + 16) for k in range(n)]
+    assert [(x.start, x.end) for x in got.assign] == [(18 * n - 1, 18 * n + 19)]
+
+
 def test_quality_stage(spark, docs, texts):
     kept = quality_rules.stage(spark, docs, "")
     assert kept.columns == docs.columns
