@@ -124,7 +124,7 @@ def test_joins_and_relational(spark):
     assert [x.n_lag_1h for x in joins.lagged(hours, "z", "h", "n", (1,)).orderBy("h").collect()] == [None, 0, None]
     diff = joins.differences(a, a.withColumn("v", F.when(F.col("k") == 3, 99).otherwise(F.col("v"))), ["k"], ["v"])
     assert [x.a_k for x in diff.collect()] == [3]
-    piv = relational.pivoted(spark.createDataFrame([(1, "a", 2.0), (1, "a", 4.0), (2, "b", 1.0)], "k int, n string, v double"), ["k"], "n", "v", {"a": "first", "b": "second", "c": "third"})
+    piv = relational.pivoted(spark.createDataFrame([(1, "a", 2.0), (1, "a", 4.0), (2, "b", 1.0)], "k int, n string, v double"), ["k"], "n", "v", {"first": ["a"], "second": ["b"], "third": ["c"]})
     assert sorted(map(tuple, piv.collect()), key=str) == [(1, 3.0, None, None), (2, None, 1.0, None)]
     assert expressions.month_predicate([(2024, 2), (2024, 1), (2023, 5)]) == "(year = 2023 AND month IN (5)) OR (year = 2024 AND month IN (1, 2))"
     assert expressions.month_predicate([]) == "FALSE"
@@ -137,3 +137,12 @@ def test_release_is_reproducible(spark):
     df = spark.createDataFrame([(k, datetime(2024, 1, 1 + k), float(k)) for k in range(20)], "k int, t timestamp_ntz, v double")
     one, two = (shifted_release(df, ["t"], 12, ["v"], 5, 0.2) for _ in range(2))
     assert one.exceptAll(two).count() == 0 and one.first().t.year == 2025 and one.count() >= 20
+
+
+def test_exact_sum(spark):
+    nan, inf = float("nan"), float("inf")
+    cases = {"small": [1e-5] * 1000, "tiny": [1e-30] * 4, "large": [1e15, 1e15, 0.25], "huge": [1e300, 1e300], "mixed": [0.1] * 30, "nan": [1.0, nan], "inf": [inf, 1.0], "none": [None, None], "part": [None, 2.5], "many": [9e24] * 30}
+    df = spark.createDataFrame([(k, v) for k, vs in cases.items() for v in vs], "k string, v double").repartition(7)
+    got = {r.k: r.s for r in df.groupBy("k").agg(expressions.exact_sum(F.col("v")).alias("s")).collect()}
+    assert got["mixed"] == 3.0 and got["none"] is None and got["part"] == 2.5 and got["small"] == 0.01 and got["large"] == 2e15 + 0.25
+    assert got["nan"] != got["nan"] and got["inf"] == inf and abs(got["tiny"] / 4e-30 - 1) < 1e-12 and abs(got["huge"] / 2e300 - 1) < 1e-12 and abs(got["many"] / 2.7e26 - 1) < 1e-12

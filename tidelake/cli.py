@@ -7,6 +7,7 @@ import json
 from datetime import datetime
 
 from tidelake import session
+from tidelake.functions.expressions import month_predicate
 from tidelake.plans import ledger, ml, products, refresh, rules
 from tidelake.plans.pipeline import Workspace, load_updates
 from tidelake.sources.readers import read
@@ -37,6 +38,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--start", type=datetime.fromisoformat)
     c.add_argument("--end", type=datetime.fromisoformat)
     c.add_argument("--source-version", type=int)
+    c.add_argument("--manifest", help="where the facts about the dataset go")
     c = sub.add_parser("features")
     c.add_argument("--no-probe", action="store_true")
     sub.add_parser("train")
@@ -81,16 +83,25 @@ def main(argv: list[str] | None = None) -> None:
                 if args.samples:
                     rows.show(args.samples, False)
     elif args.command == "dataset":
-        config = ml.DatasetConfig(args.start, args.end)
-        main_table, zones = ws.table("integrated_taxi_trips"), ws.table("taxi_zones")
-        versions, notes = pinned(main_table, {"taxi_zones": zones}, args.source_version)
-        trips = main_table.read(versions["main"])
-        start, end = ml.resolve_window(trips, config, sorted(products.window_of(main_table.detail(versions["main"]))))
-        built = ml.build_dataset(trips, zones.read(versions["taxi_zones"]), start, end, config)
+        config = ml.DatasetConfig(start=args.start, end=args.end)
+        main_table, others = ws.table("integrated_taxi_trips"), {"taxi_zones": ws.table("taxi_zones")}
+        if config.trusted_reasons and ws.quarantine("trip_data").exists():
+            others["quarantine/trip_data"] = ws.quarantine("trip_data")
+        versions, notes = pinned(main_table, others, args.source_version)
+        months = sorted(products.window_of(main_table.detail(versions["main"])))
+        trips = main_table.read(versions["main"]).filter(month_predicate(months))
+        start, end = ml.resolve_window(trips, config, months)
+        more = None
+        if "quarantine/trip_data" in others:
+            more = ml.quarantined_pickups(others["quarantine/trip_data"].read(versions["quarantine/trip_data"]).filter(month_predicate(months)), config.trusted_reasons)
+        built = ml.build_dataset(trips, others["taxi_zones"].read(versions["taxi_zones"]), start, end, config, more)
         target = ws.product("training_dataset")
         target.overwrite(built, ["split"]) if target.exists() else target.create(built, ["split"])
-        ml.split_summary(target.read(), config.target).show()
-        print(versions, notes)
+        stored = target.read()
+        splits = [r.asDict() for r in ml.split_summary(stored, config.target, [*config.hourly, *config.lag_columns]).collect()]  # three rows
+        facts = {"dataset": config.name, "version": target.latest_version(), "sources": versions, "notes": notes, "window": [start, end], "splits": splits, "signal": ml.signal(stored, config), "columns": ml.column_dictionary(stored, {}), "config": config}
+        ml.manifest(args.manifest or f"{config.name}.json", **facts)
+        print(json.dumps(splits, default=str, indent=2))
     else:
         data, config = ws.product("training_dataset").read(), ml.FeatureConfig()
         if args.command == "train":

@@ -37,13 +37,28 @@ def safe_ratio(a: Column, b: Column) -> Column:
     return a / F.nullif(b, F.lit(0))
 
 
-def exact_sum(value: Column, scale: int = 4) -> Column:
-    """A sum of doubles that doesn't depend on the order in which tasks finish."""
-    return F.sum(value.cast(f"decimal(18,{scale})")).cast("double")
+#: Places of decimals that sums of doubles go through, and the size below which a value would lose digits in them.
+PLACES, LEAST = 18, 1e-6
 
 
-def exact_avg(value: Column, scale: int = 4) -> Column:
-    return safe_ratio(exact_sum(value, scale), F.count(value).cast("double"))
+def exact_sum(value: Column, places: int | None = None) -> Column:
+    """A sum of doubles that doesn't depend on the order in which tasks finish: through decimals of 18 places, or of
+    ``places`` where values are known to have no more.
+
+    Where a value doesn't fit them (NaN, infinite, too large, or too small to keep its digits), and where the sum doesn't, it
+    is the plain sum of doubles. NULLs are left out; without values the sum is NULL.
+    """
+    number = value.cast("double")
+    exact = value.try_cast(f"decimal(38,{PLACES if places is None else places})")
+    unfit = value.isNotNull() & exact.isNull()
+    if places is None:
+        unfit = unfit | ((number != 0) & (F.abs(number) < LEAST))
+    plain = F.sum(number)
+    return F.when(F.coalesce(F.bool_or(unfit), F.lit(False)), plain).otherwise(F.coalesce(F.try_sum(exact).cast("double"), plain))
+
+
+def exact_avg(value: Column, places: int | None = None) -> Column:
+    return safe_ratio(exact_sum(value, places), F.count(value).cast("double"))
 
 
 def sample_stddev(n: Column, total: Column, squares: Column) -> Column:
@@ -51,6 +66,12 @@ def sample_stddev(n: Column, total: Column, squares: Column) -> Column:
     return F.when(n > 1, F.sqrt(F.greatest(squares - total * total / F.nullif(n, F.lit(0)), F.lit(0.0)) / F.nullif(n - 1, F.lit(0))))
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson's r of the rows that have both; NULL where one of them is constant."""
+    x, y = F.when(b.isNotNull(), a.cast("double")), F.when(a.isNotNull(), b.cast("double"))
+    return safe_ratio(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def month_predicate(months: Iterable[tuple[int, int]], year: str = "year", month: str = "month") -> str:
     """SQL predicate over partition columns; FALSE for no month."""
     by_year: dict[int, list[int]] = {}

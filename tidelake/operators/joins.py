@@ -19,8 +19,12 @@ def small(df: DataFrame, bytes_: int = BROADCAST_BYTES) -> DataFrame:
 
 def lookup(fact: DataFrame, dim: DataFrame, on: dict[str, str], prefix: str = "", columns: Sequence[str] = ()) -> DataFrame:
     """Left join of a lookup with one row per key; its columns get ``prefix``, so that one lookup serves several roles."""
+    if not columns:
+        return fact
     keys = [F.col(d).alias(f"__{prefix}{d}") for d in on.values()]
-    side = small(dim.select(*keys, *[F.col(c).alias(prefix + c) for c in columns]).dropDuplicates([f"__{prefix}{d}" for d in on.values()]))
+    names = [f"__{prefix}{d}" for d in on.values()]
+    # Of a repeated key, the least row by its columns: the same in every run.
+    side = small(dim.select(*keys, *[F.col(c).alias(prefix + c) for c in columns]).groupBy(*names).agg(F.min(F.struct(*[prefix + c for c in columns])).alias("__row")).select(*names, "__row.*"))
     condition = [fact[f] == side[f"__{prefix}{d}"] for f, d in on.items()]
     return fact.join(side, condition, "left").drop(*[f"__{prefix}{d}" for d in on.values()])
 

@@ -52,12 +52,14 @@ def repeated(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.withColumn("__n", F.count("*").over(Window.partitionBy(*keys))).filter("__n > 1").drop("__n")
 
 
-def pivoted(df: DataFrame, keys: Sequence[str], names: str, values: str, wanted: dict[str, str]) -> DataFrame:
-    """Average of ``values`` for each key and each wanted name, as the columns that the names map to.
+def pivoted(df: DataFrame, keys: Sequence[str], names: str, values: str, wanted: dict[str, Sequence[str]]) -> DataFrame:
+    """Average of ``values`` for each key and each column of ``wanted``, which says the names that the column stands for.
 
-    The names are declared, so the schema doesn't depend on the data and no job has to find them.
+    The names are given, so that one aggregation does it and the schema is known beforehand.
     """
-    return df.groupBy(*keys).agg(*[F.avg(F.when(F.col(names) == n, F.col(values))).alias(c) for n, c in wanted.items()])
+    if not wanted:
+        return df.select(*keys).distinct()
+    return df.groupBy(*keys).agg(*[F.avg(F.when(F.col(names).isin(*of), F.col(values))).alias(c) for c, of in wanted.items()])
 
 
 def eta_squared(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -76,7 +78,8 @@ def r_squared(df: DataFrame, actual: str, predicted: str) -> DataFrame:
 
 def group_mean(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
     """``df`` with the mean of its group."""
-    return df.withColumn(name, F.avg(value).over(Window.partitionBy(*keys)))
+    means = df.groupBy(*keys).agg(F.avg(value).alias(name)).withColumnsRenamed({k: f"__{k}" for k in keys})
+    return df.join(means, [df[k].eqNullSafe(means[f"__{k}"]) for k in keys], "left").drop(*[f"__{k}" for k in keys])
 
 
 def profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -63,5 +63,16 @@ def rejected(changes: Sequence[Change]) -> list[Change]:
     return [c for c in changes if c.action == REJECT]
 
 
+def described(changes: Sequence[Change]) -> str | None:
+    """All changes as one text; None if there are none."""
+    return "; ".join(f"{c.action}({c.column})" + (f": {c.detail}" if c.detail else "") for c in changes) or None
+
+
+def checks(changes: Sequence[Change]) -> list[dict]:
+    """A result for each change, like those of rules."""
+    status = {REJECT: "failed", DROP_COLUMN: "warning"}
+    return [{"name": f"schema:{c.action}({c.column})", "category": "schema", "action": c.action, "status": status.get(c.action, "info"), "failed": None, "note": c.detail or None} for c in changes]
+
+
 def report(spark, changes: Sequence[Change]) -> DataFrame:
     return spark.createDataFrame([(c.column, c.action, c.detail) for c in changes], "column string, action string, detail string")

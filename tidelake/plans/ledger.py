@@ -12,7 +12,7 @@ from contextlib import contextmanager
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -22,24 +22,28 @@ from tidelake.operators.relational import first_per
 from tidelake.sources.table import Table
 
 RUNS = (
-    "run_id string, execution_id string, pipeline string, dataset string, status string, mode string, started_at timestamp, finished_at timestamp, duration_s double, source string, "
-    "source_columns long, schema_fingerprint string, schema_version long, rows_read long, out_of_scope long, rows_validated long, rows_valid long, rows_quarantined long, rows_dropped long, "
-    "rows_warned long, rows_inserted long, checks_total long, checks_failed long, checks_warning long, checks_skipped long, schema_changes string, table_version long, error string, engine string"
+    "run_id string, execution_id string, pipeline string, dataset string, source string, target_path string, status string, error_message string, started_at timestamp, finished_at timestamp, "
+    "execution_time_seconds double, validate_seconds double, write_seconds double, schema_version int, schema_fingerprint string, schema_changes string, write_mode string, source_records long, "
+    "out_of_scope_records long, processed_records long, rejected_records long, quarantined_records long, dropped_records long, warning_records long, final_clean_records long, inserted_records long, "
+    "duplicates_skipped long, validation_failures int, target_version long"
+)
+CHECKS = (
+    "run_id string, execution_id string, dataset string, recorded_at timestamp, rule_name string, category string, action string, status string, failed_records long, checked_records long, details string"
 )
-CHECKS = "run_id string, execution_id string, dataset string, checked_at timestamp, rule string, category string, action string, status string, rows_failed long, rows_checked long, note string"
 
 
 def fingerprint(schema: T.StructType) -> str:
     """The same for any order of the columns."""
-    return hashlib.md5("|".join(sorted(f"{f.name}:{f.dataType.simpleString()}" for f in schema)).encode()).hexdigest()
+    return hashlib.md5(",".join(sorted(f"{f.name}:{f.dataType.simpleString()}" for f in schema)).encode()).hexdigest()
 
 
 def enabled() -> bool:
-    return os.environ.get("PLATFORM_MONITORING", "on").lower() != "off"
+    return os.environ.get("PLATFORM_MONITORING", "on").lower() not in ("0", "off", "false", "no")
 
 
 @dataclass
 class Execution:
+    id: str = field(default_factory=lambda: uuid.uuid4().hex[:12])
     values: dict = field(default_factory=dict)
     checks: list[dict] = field(default_factory=list)
 
@@ -70,28 +74,28 @@ class Ledger:
         return order.index(mark) + 1 if mark in order else len(order) + 1
 
     @contextmanager
-    def track(self, dataset: str, df: DataFrame | None = None, source: str = "") -> Iterator[Execution]:
+    def track(self, dataset: str, df: DataFrame | None = None, source: str = "", target: str | None = None) -> Iterator[Execution]:
         """Records how the block ended; exceptions go on."""
         execution, began, clock = Execution(), datetime.now(timezone.utc), time.perf_counter()
         if df is not None and enabled():
-            mark = fingerprint(df.schema)
-            execution.record(source_columns=len(df.columns), schema_fingerprint=mark, schema_version=self.schema_version(dataset, mark))
-        status, error = "success", None
+            mark = fingerprint(T.StructType([f for f in df.schema if not f.name.startswith("_")]))
+            execution.record(schema_fingerprint=mark, schema_version=self.schema_version(dataset, mark))
+        status, error = "succeeded", None
         try:
             yield execution
-            status = execution.values.pop("status", status)
+            status = execution.values.get("status", status)
         except Exception as e:
-            status, error = "failed", f"{type(e).__name__}: {str(e)[:500]}"
+            status, error = "failed", f"{type(e).__name__}: {e}"[:2000]
             raise
         finally:
             if enabled():
-                ids = {"run_id": self.run_id, "execution_id": uuid.uuid4().hex, "dataset": dataset}
-                done = {"pipeline": self.pipeline, "status": status, "started_at": began, "finished_at": datetime.now(timezone.utc), "duration_s": time.perf_counter() - clock, "source": source, "error": error, "engine": "spark"}
-                by = lambda s: sum(c["status"] == s for c in execution.checks)
-                tallies = {"checks_total": len(execution.checks), "checks_failed": by("failed"), "checks_warning": by("warning"), "checks_skipped": by("skipped")}
-                self._runs.append(ids | done | tallies | execution.values)
+                ids = {"run_id": self.run_id, "execution_id": execution.id, "dataset": dataset}
+                now = datetime.now(timezone.utc)
+                done = {"pipeline": self.pipeline, "source": source, "target_path": target, "status": status, "error_message": error, "started_at": began, "finished_at": now, "execution_time_seconds": round(time.perf_counter() - clock, 2)}
+                self._runs.append(execution.values | ids | done)
                 for c in execution.checks:
-                    self._checks.append(ids | {"checked_at": done["finished_at"], "rule": c["name"], "category": c["category"], "action": c["action"], "status": c["status"], "rows_failed": c["failed"], "rows_checked": execution.values.get("rows_validated"), "note": c["note"]})
+                    checked = None if c["category"] == "schema" and c["name"].startswith("schema:") else execution.values.get("processed_records")
+                    self._checks.append(ids | {"recorded_at": now, "rule_name": c["name"], "category": c["category"], "action": c["action"], "status": c["status"], "failed_records": c["failed"], "checked_records": checked, "details": c["note"]})
 
     def flush(self) -> None:
         for table, rows, ddl in ((self.runs, self._runs, RUNS), (self.checks, self._checks, CHECKS)):
@@ -101,40 +105,65 @@ class Ledger:
                 rows.clear()
 
 
+def _percent(part: Column, whole: Column) -> Column:
+    return F.round(safe_ratio(100.0 * part, whole), 3)
+
+
 def failing_datasets(runs: DataFrame) -> DataFrame:
-    bad = F.sum((F.col("status") != "success").cast("long"))
-    return runs.groupBy("dataset").agg(F.count("*").alias("executions"), bad.alias("failures")).withColumn("failure_rate", safe_ratio(F.col("failures").cast("double"), F.col("executions"))).filter("failures > 0").orderBy(F.desc("failures"), "dataset")
+    """Which dataset fails validation most often."""
+    out = runs.groupBy("dataset").agg(
+        F.count("*").alias("executions"), F.sum(F.when(F.col("validation_failures") > 0, 1).otherwise(0)).alias("executions_with_failures"), F.sum("validation_failures").alias("failed_checks"),
+        F.sum("rejected_records").alias("rejected_records"), _percent(F.sum("rejected_records"), F.sum("processed_records")).alias("pct_records_rejected"),
+    )
+    return out.orderBy(F.desc("executions_with_failures"), F.desc("failed_checks"), F.desc("pct_records_rejected"))
 
 
 def failing_rules(checks: DataFrame, most: int = 25) -> DataFrame:
-    bad = checks.filter(F.col("status").isin("failed", "warning"))
-    return bad.groupBy("dataset", "rule", "category").agg(F.count("*").alias("times"), F.sum(F.coalesce("rows_failed", F.lit(0))).alias("rows_failed")).orderBy(F.desc("rows_failed"), "dataset", "rule").limit(most)
+    """Which rules fail most often; ties by name, so that the report is the same each time."""
+    bad = checks.filter(F.col("status").isin("failed", "warning")).groupBy("dataset", "rule_name", "category", "action")
+    out = bad.agg(F.count("*").alias("executions_failed"), F.sum(F.coalesce("failed_records", F.lit(0))).alias("failed_records"))
+    return out.orderBy(F.desc("executions_failed"), F.desc("failed_records"), "dataset", "rule_name", "category", "action").limit(most)
 
 
 def slowest_datasets(runs: DataFrame) -> DataFrame:
-    return runs.groupBy("dataset").agg(F.count("*").alias("executions"), F.avg("duration_s").alias("avg_s"), F.max("duration_s").alias("max_s"), F.sum("rows_read").alias("rows_read")).withColumn(
-        "rows_per_s", safe_ratio(F.col("rows_read").cast("double"), F.col("avg_s") * F.col("executions"))
-    ).orderBy(F.desc("avg_s"), "dataset")
+    """Which dataset takes longest."""
+    s = F.col("execution_time_seconds")
+    out = runs.filter("status = 'succeeded'").groupBy("dataset").agg(
+        F.count("*").alias("executions"), F.round(F.avg(s), 2).alias("avg_seconds"), F.round(F.max(s), 2).alias("max_seconds"), F.round(F.sum(s), 2).alias("total_seconds"),
+        F.round(F.avg("validate_seconds"), 2).alias("avg_validate_seconds"), F.round(F.avg("write_seconds"), 2).alias("avg_write_seconds"), F.round(safe_ratio(F.sum("processed_records"), F.sum(s))).alias("records_per_second"),
+    )
+    return out.orderBy(F.desc("avg_seconds"))
 
 
 def rejections_per_execution(runs: DataFrame) -> DataFrame:
-    return runs.select("execution_id", "dataset", "started_at", "rows_read", "rows_quarantined", safe_ratio(F.col("rows_quarantined").cast("double"), F.col("rows_read")).alias("rejection_rate")).orderBy("started_at", "execution_id")
+    names = ["started_at", "pipeline", "dataset", "status", "processed_records", "rejected_records", "quarantined_records", "dropped_records", "warning_records"]
+    return runs.select(*names, _percent(F.col("rejected_records"), F.col("processed_records")).alias("pct_rejected"), "inserted_records").orderBy("started_at")
 
 
 def processing_time_trend(runs: DataFrame, rows: int = 3) -> DataFrame:
-    order = Window.partitionBy("dataset").orderBy("started_at", "execution_id")
-    before = F.lag("duration_s").over(order)
-    return runs.select(
-        "dataset", "execution_id", "started_at", "duration_s", before.alias("previous_s"), safe_ratio(F.col("duration_s") - before, before).alias("relative_change"), F.avg("duration_s").over(order.rowsBetween(1 - rows, 0)).alias("moving_avg_s")
-    )
+    """How the time has changed over executions; throughput, as batches differ in size."""
+    s = F.col("execution_time_seconds")
+    order = Window.partitionBy("dataset").orderBy("started_at")
+    out = runs.filter("status = 'succeeded'").select(
+        "dataset", "started_at", "pipeline", "processed_records", "execution_time_seconds", F.round(s - F.lag(s).over(order), 2).alias("change_vs_previous"),
+        F.round(F.avg(s).over(order.rowsBetween(1 - rows, 0)), 2).alias(f"moving_avg_{rows}"), F.round(safe_ratio(F.col("processed_records"), s)).alias("records_per_second"),
+    )
+    return out.orderBy("dataset", "started_at")
 
 
 def schema_history(runs: DataFrame) -> DataFrame:
-    return runs.groupBy("dataset", "schema_version", "schema_fingerprint").agg(F.min("started_at").alias("first_seen"), F.max("started_at").alias("last_seen"), F.count("*").alias("executions"), F.min_by("source", "started_at").alias("first_source"))
+    """When each dataset's schema changed, and how."""
+    by = runs.groupBy("dataset", "schema_version").agg(
+        F.min("started_at").alias("first_seen"), F.max("started_at").alias("last_seen"), F.count("*").alias("executions"), F.min_by("schema_changes", "started_at").alias("changes_when_introduced")
+    )
+    return by.orderBy("dataset", "schema_version")
 
 
 def latest_status(runs: DataFrame) -> DataFrame:
-    return first_per(runs, ["dataset"], F.desc("started_at"), F.desc("execution_id")).select("dataset", "execution_id", "status", "started_at", "rows_inserted", "error")
+    names = [
+        "dataset", "started_at", "pipeline", "status", "schema_version", "processed_records", "inserted_records", "rejected_records", "validation_failures", "execution_time_seconds", "target_version", "error_message",
+    ]
+    return first_per(runs, ["dataset"], F.desc("started_at"), F.desc("execution_id")).select(*names).orderBy("dataset")
 
 
 QUERIES = {
@@ -146,8 +175,13 @@ QUERIES = {
 def latest_results(runs: DataFrame, checks: DataFrame) -> DataFrame:
     """Checks that didn't pass in the latest execution of each dataset."""
     latest = first_per(runs, ["dataset"], F.desc("started_at"), F.desc("execution_id")).select("execution_id")
-    return checks.join(latest, "execution_id").filter(F.col("status") != "passed")
+    names = ["dataset", "rule_name", "category", "action", "status", "failed_records", "checked_records", "details"]
+    return checks.join(latest, "execution_id").filter(F.col("status") != "passed").select(*names).orderBy("dataset", "status", F.desc("failed_records"))
 
 
 def category_totals(checks: DataFrame) -> DataFrame:
-    return checks.groupBy("dataset", "category").agg(F.sum(F.coalesce("rows_failed", F.lit(0))).alias("rows_failed")).filter("rows_failed > 0")
+    """Checks with findings and records flagged, by category, of all executions."""
+    by = checks.groupBy("dataset", "category").agg(
+        F.sum(F.when(F.col("status").isin("failed", "warning"), 1).otherwise(0)).alias("checks_with_findings"), F.sum(F.coalesce("failed_records", F.lit(0))).alias("records_flagged")
+    )
+    return by.filter("checks_with_findings > 0").orderBy("dataset", F.desc("records_flagged"))

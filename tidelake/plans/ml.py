@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 from datetime import datetime, timedelta
@@ -14,24 +15,35 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelake.functions.expressions import null_share
+from tidelake.functions.expressions import correlation, month_predicate, null_share
 from tidelake.functions.temporal import in_period, local_hour, ntz, split_label
 from tidelake.operators.joins import grid, lagged, zero_filled
-from tidelake.operators.relational import eta_squared, group_mean, profile, r_squared
+from tidelake.operators.relational import eta_squared, profile, r_squared
+from tidelake.plans.rules import trusted
+from tidelake.session import checkpointed
 
 
 @dataclass(frozen=True)
 class DatasetConfig:
-    start: datetime | None = None
-    end: datetime | None = None
-    test_weeks: int = 2
+    name: str = "hourly_zone_demand"
+    target: str = "trip_count"
+    start: datetime | None = None  # None: the first reported month
+    end: datetime | None = None  # None: the day after the last pickup
     validation_weeks: int = 2
-    least_trips: int = 100  # of a zone in the training period
+    test_weeks: int = 2
+    hourly: tuple[str, ...] = ("temp", "rhum", "prcp", "wspd", "pres", "coco", "pm25")  # the same for all trips of an hour
+    zone_columns: tuple[tuple[str, str], ...] = (("borough", "pickup_borough"), ("service_zone", "pickup_service_zone"))
+    codes: tuple[str, ...] = ("pulocationid", "pickup_borough", "pickup_service_zone", "coco")
+    zone_filter: str = "service_zone <> 'N/A'"
+    least_per_day: float = 1.0  # pickups of a zone, on average over the training weeks
+    trusted_reasons: tuple[str, ...] = ("not_null(passenger_count)", "positive(passenger_count)")
     lags: tuple[int, ...] = (1, 24, 168)
-    excluded_zones: tuple[str, ...] = ("Unknown", "N/A", "Outside of NYC")
-    target: str = "trip_count"
     keys: tuple[str, ...] = ("pickup_hour", "pulocationid")
 
+    @property
+    def lag_columns(self) -> list[str]:
+        return [f"{self.target}_lag_{h}h" for h in self.lags]
+
 
 @dataclass(frozen=True)
 class FeatureConfig:
@@ -47,12 +59,18 @@ class FeatureConfig:
 
 
 def resolve_window(trips: DataFrame, config: DatasetConfig, months: Sequence[tuple[int, int]]) -> tuple[datetime, datetime]:
-    """The configured period within the months found; an open end is the day after the last pickup."""
+    """The configured period within the reported months; an open end is the day after the last pickup in them."""
+    if not months:
+        raise ValueError("no month has enough trips")
     first, last = min(months), max(months)
     start, after = datetime(*first, 1), datetime(last[0] + last[1] // 12, last[1] % 12 + 1, 1)
-    found = trips.filter(in_period(F.col("tpep_pickup_datetime"), start, after)).agg(F.max(F.to_date("tpep_pickup_datetime")).alias("d")).first()["d"]
-    end = datetime(found.year, found.month, found.day) + timedelta(days=1) if found else after
-    return max(start, config.start or start), min(end, config.end or end)
+    if config.end is None:
+        reported = trips.filter(month_predicate(months)) if {"year", "month"} <= set(trips.columns) else trips.filter(in_period(F.col("tpep_pickup_datetime"), start, after))
+        day = reported.agg(F.max(F.to_date("tpep_pickup_datetime")).alias("d")).first()["d"]
+        end = datetime(day.year, day.month, day.day) + timedelta(days=1)
+    else:
+        end = min(after, config.end)
+    return max(start, config.start or start), end
 
 
 def split_boundaries(start: datetime, end: datetime, config: DatasetConfig) -> tuple[datetime, datetime]:
@@ -64,24 +82,37 @@ def split_boundaries(start: datetime, end: datetime, config: DatasetConfig) -> t
     return validation, test
 
 
-def build_dataset(trips: DataFrame, zones: DataFrame, start: datetime, end: datetime, config: DatasetConfig) -> DataFrame:
-    """One row for every zone and hour of the period, with hourly context, lags of the count, and the split.
+def quarantined_pickups(quarantine: DataFrame, reasons: Sequence[str]) -> DataFrame:
+    """Pickups that were quarantined for these reasons and no other, once each."""
+    return trusted(quarantine, reasons, "surrogate_key").select("tpep_pickup_datetime", "pulocationid")
+
+
+def build_dataset(trips: DataFrame, zones: DataFrame, start: datetime, end: datetime, config: DatasetConfig, quarantined: DataFrame | None = None) -> DataFrame:
+    """One row for every chosen zone and every hour of the period in which the city had a pickup: the count, zero where the
+    zone had none, hourly context, lags and the split.
 
-    ``trips`` may hold trusted quarantined pickups, too; columns other than time and zone are hourly context.
+    Pickups before ``start`` count as far back as the longest lag. An hour that the wall clock skipped isn't there, and a lag
+    that points to it, or before the data, is NULL. ``quarantined`` (time and zone) are further pickups without context.
     """
+    missing = [c for c in config.hourly if c not in trips.columns]
+    if missing:
+        raise ValueError(f"hourly columns {missing} are missing")
     validation, test = split_boundaries(start, end, config)
-    hourly = trips.filter(in_period(F.col("tpep_pickup_datetime"), start, end)).withColumn("pickup_hour", local_hour(F.col("tpep_pickup_datetime")))
-    counts = hourly.groupBy("pickup_hour", "pulocationid").agg(F.count("*").alias(config.target))
-    context = [c for c in ("temp", "prcp", "snwd", "wspd", "coco", "pm25") if c in trips.columns]
-    weather = hourly.groupBy("pickup_hour").agg(*[F.max(c).alias(c) for c in context]) if context else None  # one value per hour
-    in_training = counts.filter(F.col("pickup_hour") < ntz(validation)).groupBy("pulocationid").agg(F.sum(config.target).alias("__n")).filter(F.col("__n") >= config.least_trips)
-    named = zones.filter(~F.col("zone").isin(*config.excluded_zones) & ~F.col("borough").isin(*config.excluded_zones))
-    chosen = named.join(in_training, named.locationid == in_training.pulocationid).select("pulocationid", F.col("borough").alias("pickup_borough"), F.col("service_zone").alias("pickup_service_zone"))
-    hours = zones.sparkSession.range(int((end - start).total_seconds() // 3600)).select((ntz(start) + F.make_dt_interval(hours=F.col("id").cast("int"))).cast("timestamp_ntz").alias("pickup_hour"))
-    cells = zero_filled(grid(hours, chosen), counts, config.keys, config.target)
-    if weather is not None:
-        cells = cells.join(weather, "pickup_hour", "left")
-    return lagged(cells, "pulocationid", "pickup_hour", config.target, config.lags).withColumn("split", split_label(F.col("pickup_hour"), validation, test))
+    pickups = trips.select("tpep_pickup_datetime", "pulocationid", *config.hourly)
+    if quarantined is not None:
+        pickups = pickups.unionByName(quarantined, allowMissingColumns=True)
+    ts = F.col("tpep_pickup_datetime")
+    history = start - timedelta(hours=max(config.lags, default=0))
+    by_cell = pickups.filter(in_period(ts, history, end)).groupBy(local_hour(ts).alias("pickup_hour"), "pulocationid").agg(F.count("*").alias(config.target), *[F.max(c).alias(c) for c in config.hourly])
+    by_cell = checkpointed(by_cell)  # read four times; a row for each zone and hour
+    hours = by_cell.groupBy("pickup_hour").agg(*[F.max(c).alias(c) for c in config.hourly])
+    in_training = by_cell.filter(in_period(F.col("pickup_hour"), start, validation)).groupBy("pulocationid").agg(F.sum(config.target).alias("__n"))
+    wanted = zones.filter(config.zone_filter).select(F.col("locationid").alias("pulocationid"), *[F.col(a).alias(b) for a, b in config.zone_columns])
+    chosen = wanted.join(in_training, "pulocationid").filter(F.col("__n") >= config.least_per_day * (validation - start).days).drop("__n")
+    series = zero_filled(grid(hours, chosen), by_cell.select(*config.keys, config.target), config.keys, config.target)
+    out = lagged(series, "pulocationid", "pickup_hour", config.target, config.lags).filter(in_period(F.col("pickup_hour"), start, end))
+    out = out.withColumn("split", split_label(F.col("pickup_hour"), validation, test))
+    return out.select(*config.keys, config.target, *[b for _, b in config.zone_columns], *config.hourly, *config.lag_columns, "split")
 
 
 def split_summary(df: DataFrame, target: str, columns: Sequence[str] = ()) -> DataFrame:
@@ -93,20 +124,40 @@ def split_summary(df: DataFrame, target: str, columns: Sequence[str] = ()) -> Da
     )
 
 
-def signal(df: DataFrame, target: str, structure: Sequence[str], numeric: Sequence[str]) -> dict:
-    """How much of the target the structure explains, and how it goes with numeric columns before and after that."""
+def signal(df: DataFrame, config: DatasetConfig) -> dict:
+    """How much of the target's variance the training weeks explain by zone, borough, hour of the week, and zone with hour of
+    the week (the last also on the validation weeks); how each quantity goes with the target and with what that leaves; of
+    codes, the share of the rest that they explain."""
+    target = config.target
+    df = df.withColumn("hour_of_week", (F.dayofweek("pickup_hour") - 1) * 24 + F.hour("pickup_hour"))
     train = df.filter("split = 'train'").cache()
     try:
-        by = {k: eta_squared(train, [k], target).first()[0] for k in structure}
-        by["all"] = eta_squared(train, list(structure), target).first()[0]
-        mean = group_mean(train, list(structure), target, "__mean")
-        residual = F.col(target) - F.col("__mean")
-        row = mean.agg(*[F.corr(c, target).alias(f"r_{c}") for c in numeric], *[F.corr(F.col(c).cast("double"), residual).alias(f"s_{c}") for c in numeric]).first()
-        return {"structure": by, "correlation": {c: row[f"r_{c}"] for c in numeric}, "residual_correlation": {c: row[f"s_{c}"] for c in numeric}}
+        of = lambda frame, value, *keys: frame_value(eta_squared(frame, list(keys), value))
+        structure = {"zone": of(train, target, "pulocationid"), "hour_of_week": of(train, target, "hour_of_week"), "zone_x_hour_of_week": of(train, target, "pulocationid", "hour_of_week")}
+        if "pickup_borough" in df.columns:
+            structure["borough"] = of(train, target, "pickup_borough")
+        expected = train.groupBy("pulocationid", "hour_of_week").agg(F.avg(target).alias("__mean"))
+        held_out = df.filter("split = 'validation'").join(expected, ["pulocationid", "hour_of_week"])
+        structure["zone_x_hour_of_week_r2_on_validation"] = frame_value(r_squared(held_out, target, "__mean"))
+        rest = train.join(expected, ["pulocationid", "hour_of_week"]).withColumn("__rest", F.col(target) - F.col("__mean"))
+        columns = [c for c in (*config.hourly, *config.lag_columns) if c in df.columns]
+        numbers = [c for c in columns if c not in config.codes]
+        row = rest.agg(*[correlation(F.col(c), F.col(target)).alias(f"r_{c}") for c in numbers], *[correlation(F.col(c), F.col("__rest")).alias(f"s_{c}") for c in numbers]).first()
+        found: dict = {c: {"r_target": _rounded(row[f"r_{c}"]), "r_residual": _rounded(row[f"s_{c}"])} for c in numbers}
+        found |= {c: {"eta_squared_residual": of(rest, "__rest", c)} for c in columns if c in config.codes}
+        return {"structure": structure, "correlation": found}
     finally:
         train.unpersist()
 
 
+def _rounded(x: float | None) -> float | None:
+    return None if x is None else round(x, 4)
+
+
+def frame_value(df: DataFrame) -> float | None:
+    return _rounded(df.first()[0])
+
+
 def group_mean_baseline(df: DataFrame, target: str, keys: Sequence[str]) -> DataFrame:
     """R squared of training means of groups on the other splits, a row for each."""
     means = df.filter("split = 'train'").groupBy(*keys).agg(F.avg(target).alias("__p"))
@@ -212,10 +263,20 @@ def scores(df: DataFrame, target: str, prediction: str = "prediction") -> dict[s
     return {s: {m: RegressionEvaluator(labelCol=target, predictionCol=prediction, metricName=m).evaluate(df.filter(F.col("split") == s)) for m in ("rmse", "mae", "r2")} for s in ("train", "validation", "test") if not df.filter(F.col("split") == s).isEmpty()}
 
 
+def source_of(slot: str) -> str:
+    """The column that a slot of the vector comes from."""
+    name = re.sub("^(scaled_|filled_|num_|log_|bin_|missing_|cat_)+", "", slot)
+    return re.split("_hot_|_hot$", re.sub("^cal_", "", name))[0]
+
+
 def importance_probe(features: DataFrame, target: str, trees: int = 30, depth: int = 10) -> dict:
     """Importance of the source of each slot, from a forest on the training split."""
     model = RandomForestRegressor(featuresCol="features", labelCol=target, numTrees=trees, maxDepth=depth, subsamplingRate=0.5, seed=42).fit(features.filter("split = 'train'"))
-    return {"importance": dict(zip(slots(features), model.featureImportances.toArray().tolist(), strict=False)), "scores": scores(model.transform(features), target)}
+    by_slot = dict(zip(slots(features), model.featureImportances.toArray().tolist(), strict=False))
+    by_source: dict[str, float] = {}
+    for name, share in by_slot.items():
+        by_source[source_of(name)] = by_source.get(source_of(name), 0.0) + share
+    return {"importance": dict(sorted(by_source.items(), key=lambda x: -x[1])), "by_slot": by_slot, "scores": scores(model.transform(features), target)}
 
 
 def train_model(df: DataFrame, config: FeatureConfig, path: str | None = None, iterations: int = 50, depth: int = 5) -> tuple[PipelineModel, dict]:

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,13 +15,17 @@ from pyspark.sql import types as T
 from tidelake.functions.expressions import band, category, exact_avg, exact_sum, month_predicate, safe_ratio, sample_stddev
 from tidelake.functions.names import quoted
 from tidelake.operators.joins import differences
-from tidelake.operators.relational import first_per, ranked, share_of_total
+from tidelake.operators.relational import first_per, ranked, share_of_total, top_ranked
 from tidelake.plans.pipeline import Workspace
 
 Month = tuple[int, int]
 #: Weather condition codes by category, and limits of fine-particle bands; fixed values.
-WEATHER_CATEGORIES = {"Clear": (1, 2), "Cloudy": (3, 4), "Fog": (5, 6), "Rain": (7, 8, 9, 17, 18), "Snow": (14, 15, 16, 19, 20, 21, 22), "Storm": (23, 24, 25, 26, 27)}
+WEATHER_CATEGORIES = {
+    "Clear/Fair": (1, 2, 3), "Cloudy/Overcast": (4, 5), "Fog": (6, 7), "Rain": (8, 9, 17, 18), "Snow": (14, 15, 16, 19, 20), "Storm": (21, 22, 23, 24, 25, 26, 27),
+}
 PM25_BANDS = ((12.0, "Good"), (35.4, "Moderate"))
+#: Trips from which on a month counts as reported, and a zone's variation as more than noise; fixed values.
+MIN_MONTH_TRIPS, MIN_ZONE_TRIPS = 1000, 500
 
 
 def weather_category():
@@ -38,79 +43,174 @@ class Product:
     measures: tuple[str, ...]
     required: tuple[str, ...]
     optional: tuple[str, ...] = ()
+    rollup: Callable[[DataFrame], DataFrame] | None = None
 
 
 #: Optional columns of the source and the types that they have where the source lacks them.
-OPTIONAL = {"humidity": "int", "rhum": "int", "aqi": "double", "ozone": "double", "no2": "double"}
-REQUIRED = ("tpep_pickup_datetime", "pickup_hour", "trip_distance", "fare_amount", "total_amount", "temp", "prcp", "pm25", "coco", "pickup_zone", "pickup_borough", "year", "month")
+OPTIONAL = {"humidity": "double", "aqi": "double"}
+SOURCE = "integrated_taxi_trips"
+
+
+def total(column: str, places: int):
+    return F.round(exact_sum(F.col(column)), places)
+
+
+def mean(column: str, places: int):
+    return F.round(exact_avg(F.col(column)), places)
+
+
+def trips_and_distance() -> list:
+    return [F.count("*").alias("trip_count"), total("trip_distance", 2).alias("total_distance_miles")]
 
 
 def daily_mobility(df: DataFrame) -> DataFrame:
-    day = F.to_date("tpep_pickup_datetime")
-    return df.groupBy("year", "month", day.alias("day"), F.date_format("tpep_pickup_datetime", "EEEE").alias("weekday")).agg(
-        F.count("*").alias("trips"), exact_sum(F.col("total_amount")).alias("revenue"), exact_avg(F.col("trip_distance")).alias("avg_distance"), exact_avg(F.col("fare_amount")).alias("avg_fare"),
-        exact_avg(F.col("temp")).alias("avg_temp"), exact_avg(F.col("prcp")).alias("avg_prcp"), exact_avg(F.col("humidity")).alias("avg_humidity"),
+    """A row for each day; weather and air as the average trip met them."""
+    ts = F.col("tpep_pickup_datetime")
+    return df.groupBy("year", "month", F.to_date(ts).alias("service_date"), F.date_format(ts, "EEEE").alias("day_of_week")).agg(
+        *trips_and_distance(), total("total_amount", 2).alias("total_revenue"), mean("trip_distance", 3).alias("avg_trip_distance"), mean("total_amount", 2).alias("avg_trip_revenue"),
+        mean("passenger_count", 2).alias("avg_passengers"), mean("temp", 1).alias("avg_temp_c"), mean("prcp", 2).alias("avg_precip_mm"), mean("pm25", 1).alias("avg_pm25"), mean("humidity", 1).alias("avg_humidity"),
     )
 
 
 def zone_statistics(df: DataFrame) -> DataFrame:
+    """A row for each month and zone, with its rank and its share of the month's trips in percent."""
     by = df.filter("pickup_zone is not null").groupBy("year", "month", "pickup_zone", "pickup_borough").agg(
-        F.count("*").alias("trips"), exact_sum(F.col("total_amount")).alias("revenue"), exact_avg(F.col("trip_distance")).alias("avg_distance"), exact_avg(F.col("fare_amount")).alias("avg_fare")
+        *trips_and_distance(), total("total_amount", 2).alias("total_revenue"), mean("trip_distance", 3).alias("avg_trip_distance"), mean("fare_amount", 2).alias("avg_fare")
     )
-    return share_of_total(ranked(by, ["year", "month"], "trips", "zone_rank"), ["year", "month"], "trips", "share")
+    ranks = ranked(by, ["year", "month"], "trip_count", "demand_rank")
+    shares = share_of_total(ranks, ["year", "month"], "trip_count", "pct_of_monthly_trips")
+    return shares.withColumn("pct_of_monthly_trips", F.round(100 * F.col("pct_of_monthly_trips"), 3))
 
 
 def weather_impact(df: DataFrame) -> DataFrame:
-    """Sums that add up over months: count, sum and sum of squares."""
+    """A row for each month, weather category and zone; the unrounded sums add up over months."""
     d = F.col("trip_distance")
-    by = df.withColumn("weather_category", weather_category()).filter("weather_category <> 'Unknown' and pickup_zone is not null").groupBy("year", "month", "weather_category", "pickup_zone")
-    return by.agg(F.count("*").alias("trips"), F.count(d).alias("n_distance"), exact_sum(d).alias("sum_distance"), exact_sum(d * d).alias("sum_distance2"), exact_sum(F.col("fare_amount")).alias("sum_fare"))
-
-
-def weather_rollup(product: DataFrame, *keys: str) -> DataFrame:
-    """Average and deviation over all months, from the sums."""
-    sums = product.groupBy(*keys).agg(F.sum("trips").alias("trips"), F.sum("n_distance").alias("n"), exact_sum(F.col("sum_distance")).alias("s"), exact_sum(F.col("sum_distance2")).alias("q"))
-    return sums.select(*keys, "trips", safe_ratio(F.col("s"), F.col("n")).alias("avg_distance"), sample_stddev(F.col("n"), F.col("s"), F.col("q")).alias("stddev_distance"))
+    by = df.withColumn("weather_category", weather_category()).filter("weather_category <> 'Unknown' and pickup_zone is not null")
+    sums = by.groupBy("year", "month", "weather_category", "pickup_zone", "pickup_borough").agg(
+        *trips_and_distance(), total("total_amount", 2).alias("total_revenue"), mean("trip_distance", 3).alias("avg_trip_distance"), F.round(F.stddev(d), 3).alias("stddev_trip_distance"),
+        exact_sum(d).alias("sum_distance"), exact_sum(d * d).alias("sum_sq_distance"), exact_sum(F.col("total_amount")).alias("sum_revenue"),
+    )
+    return sums
 
 
 def air_impact(df: DataFrame) -> DataFrame:
-    by = df.filter("pm25 is not null").groupBy("year", "month", "pickup_hour").agg(F.count("*").alias("trips"), exact_avg(F.col("pm25")).alias("pm25"), exact_avg(F.col("trip_distance")).alias("avg_distance"))
-    return by.withColumn("pm25_band", band(F.col("pm25"), PM25_BANDS, "Unhealthy"))
+    """A row for each hour with a fine-particle reading."""
+    by = df.filter("pm25 is not null").groupBy("year", "month", "pickup_hour").agg(
+        exact_avg(F.col("pm25")).alias("level"), *trips_and_distance(), mean("trip_distance", 3).alias("avg_trip_distance"), mean("aqi", 1).alias("avg_aqi")
+    )
+    return by.withColumn("pm25", F.round("level", 2)).withColumn("aqi_band", band(F.col("level"), PM25_BANDS, "Unhealthy")).drop("level")
 
 
 def borough_mobility(df: DataFrame) -> DataFrame:
+    """A row for each month, borough, weekday and hour."""
     ts = F.col("tpep_pickup_datetime")
-    return df.filter("pickup_borough is not null").groupBy("year", "month", "pickup_borough", F.dayofweek(ts).alias("weekday"), F.hour(ts).alias("hour")).agg(
-        F.count("*").alias("trips"), exact_sum(F.col("fare_amount")).alias("sum_fare"), exact_sum(F.col("trip_distance")).alias("sum_distance")
+    by = df.filter("pickup_borough is not null").groupBy("year", "month", "pickup_borough", F.date_format(ts, "EEEE").alias("day_of_week"), F.dayofweek(ts).alias("day_of_week_num"), F.hour(ts).alias("hour_of_day"))
+    return by.agg(
+        *trips_and_distance(), total("total_amount", 2).alias("total_revenue"), mean("trip_distance", 3).alias("avg_trip_distance"),
+        exact_sum(F.col("trip_distance")).alias("sum_distance"), exact_sum(F.col("total_amount")).alias("sum_revenue"),
     )
 
 
+STAMPS = ("source_table", "source_version", "schema_version", "created_at", "refreshed_at")
+
+
+def stamps_rolled_up(product: DataFrame) -> list:
+    """What the stamps of several months come to."""
+    least = {"created_at"}
+    return [(F.min if c in least else F.max)(c).alias(c) for c in STAMPS if c in product.columns]
+
+
+def _rollup(product: DataFrame, *keys: str, more: list) -> DataFrame:
+    n, s = F.sum("trip_count"), exact_sum(F.col("sum_distance"))
+    return product.groupBy(*keys).agg(
+        n.alias("trip_count"), F.round(s, 2).alias("total_distance_miles"), F.round(exact_sum(F.col("sum_revenue")), 2).alias("total_revenue"), F.round(safe_ratio(s, n), 3).alias("avg_trip_distance"),
+        *more, *stamps_rolled_up(product),
+    )
+
+
+def weather_rollup(product: DataFrame, *keys: str) -> DataFrame:
+    """The product over all months, from the sums: by category, zone and borough, unless ``keys`` name other columns."""
+    deviation = sample_stddev(F.sum("trip_count"), exact_sum(F.col("sum_distance")), exact_sum(F.col("sum_sq_distance")))
+    return _rollup(product, *(keys or ("weather_category", "pickup_zone", "pickup_borough")), more=[F.round(deviation, 3).alias("stddev_trip_distance")])
+
+
 def borough_rollup(product: DataFrame) -> DataFrame:
-    return product.groupBy("pickup_borough", "weekday", "hour").agg(F.sum("trips").alias("trips"), safe_ratio(exact_sum(F.col("sum_fare")), F.sum("trips")).alias("avg_fare"), safe_ratio(exact_sum(F.col("sum_distance")), F.sum("trips")).alias("avg_distance"))
+    """The product over all months: a weekly profile of each borough."""
+    return _rollup(product, "pickup_borough", "day_of_week", "day_of_week_num", "hour_of_day", more=[])
 
 
+_DISTANCES = ("trip_count", "total_distance_miles", "total_revenue", "avg_trip_distance")
 PRODUCTS = {p.name: p for p in (
-    Product("daily_mobility_summary", "1.1", daily_mobility, ("year", "month", "day", "weekday"), ("trips", "revenue", "avg_distance", "avg_fare", "avg_temp", "avg_prcp", "avg_humidity"), ("tpep_pickup_datetime", "trip_distance", "fare_amount", "total_amount", "temp", "prcp", "year", "month"), ("humidity",)),
-    Product("taxi_zone_statistics", "1.1", zone_statistics, ("year", "month", "pickup_zone", "pickup_borough"), ("trips", "revenue", "avg_distance", "avg_fare", "zone_rank", "share"), ("trip_distance", "fare_amount", "total_amount", "pickup_zone", "pickup_borough", "year", "month")),
-    Product("weather_impact_summary", "2.0", weather_impact, ("year", "month", "weather_category", "pickup_zone"), ("trips", "n_distance", "sum_distance", "sum_distance2", "sum_fare"), ("trip_distance", "fare_amount", "coco", "pickup_zone", "year", "month")),
-    Product("air_quality_impact_summary", "1.1", air_impact, ("year", "month", "pickup_hour", "pm25_band"), ("trips", "pm25", "avg_distance"), ("pickup_hour", "pm25", "trip_distance", "year", "month")),
-    Product("borough_mobility_summary", "2.0", borough_mobility, ("year", "month", "pickup_borough", "weekday", "hour"), ("trips", "sum_fare", "sum_distance"), ("tpep_pickup_datetime", "fare_amount", "trip_distance", "pickup_borough", "year", "month")),
+    Product(
+        "daily_mobility_summary", "1.1", daily_mobility, ("year", "month", "service_date", "day_of_week"), (*_DISTANCES, "avg_trip_revenue", "avg_passengers", "avg_temp_c", "avg_precip_mm", "avg_pm25", "avg_humidity"),
+        ("tpep_pickup_datetime", "trip_distance", "total_amount", "passenger_count", "temp", "prcp", "pm25"), ("humidity",),
+    ),
+    Product(
+        "taxi_zone_statistics", "1.1", zone_statistics, ("year", "month", "pickup_zone", "pickup_borough"), (*_DISTANCES, "avg_fare", "demand_rank", "pct_of_monthly_trips"),
+        ("pickup_zone", "pickup_borough", "trip_distance", "total_amount", "fare_amount"),
+    ),
+    Product(
+        "weather_impact_summary", "2.0", weather_impact, ("year", "month", "weather_category", "pickup_zone", "pickup_borough"), (*_DISTANCES, "stddev_trip_distance", "sum_distance", "sum_sq_distance", "sum_revenue"),
+        ("coco", "pickup_zone", "pickup_borough", "trip_distance", "total_amount"), (), weather_rollup,
+    ),
+    Product(
+        "air_quality_impact_summary", "1.1", air_impact, ("year", "month", "pickup_hour", "aqi_band"), ("pm25", "trip_count", "total_distance_miles", "avg_trip_distance", "avg_aqi"),
+        ("pickup_hour", "pm25", "trip_distance"), ("aqi",),
+    ),
+    Product(
+        "borough_mobility_summary", "2.0", borough_mobility, ("year", "month", "pickup_borough", "day_of_week", "day_of_week_num", "hour_of_day"), (*_DISTANCES, "sum_distance", "sum_revenue"),
+        ("pickup_borough", "tpep_pickup_datetime", "trip_distance", "total_amount"), (), borough_rollup,
+    ),
 )}
 
 
-def reporting_window(df: DataFrame, least: int = 1000) -> DataFrame:
+def register_views(ws: Workspace) -> list[str]:
+    """A view for each product that is there; one with a rollup has its monthly table as ``<name>_monthly``, and under its own
+    name what all months come to."""
+    out = []
+    for p in PRODUCTS.values():
+        if not ws.product(p.name).exists():
+            continue
+        stored = ws.product(p.name).read()
+        if p.rollup:
+            stored.createOrReplaceTempView(f"{p.name}_monthly")
+            out.append(f"{p.name}_monthly")
+        (p.rollup(stored) if p.rollup else stored).createOrReplaceTempView(p.name)
+        out.append(p.name)
+    return out
+
+
+def distance_by_weather(impact: DataFrame) -> DataFrame:
+    """The second analysis, from the weather product over all months."""
+    by = impact.groupBy("weather_category").agg(F.sum("trip_count").alias("trip_count"), F.round(safe_ratio(exact_sum(F.col("total_distance_miles")), F.sum("trip_count")), 3).alias("avg_distance"))
+    return by.orderBy(F.desc("avg_distance"))
+
+
+def zone_variation(impact: DataFrame, least: int = MIN_ZONE_TRIPS, most: int = 10) -> DataFrame:
+    """The fourth analysis, from the same: zones whose demand varies most between categories."""
+    by = impact.groupBy("pickup_zone").agg(F.sum("trip_count").alias("total_trips"), F.round(safe_ratio(F.stddev("trip_count"), F.avg("trip_count")), 4).alias("coeff_of_variation"), F.count("*").alias("n"))
+    return by.filter((F.col("total_trips") >= least) & (F.col("n") >= 2)).drop("n").orderBy(F.desc("coeff_of_variation"), "pickup_zone").limit(most)
+
+
+def peak_hours(profile: DataFrame) -> DataFrame:
+    """The fifth analysis, from the borough product over all months."""
+    city = profile.groupBy("day_of_week", "day_of_week_num", "hour_of_day").agg(F.sum("trip_count").alias("trip_count"))
+    return top_ranked(city, ["day_of_week"], "trip_count").orderBy("day_of_week_num", "hour_of_day").select("day_of_week", "hour_of_day", "trip_count")
+
+
+def reporting_window(df: DataFrame, least: int = MIN_MONTH_TRIPS) -> DataFrame:
     """Months with enough rows."""
     return df.filter("year is not null").groupBy("year", "month").agg(F.count("*").alias("rows")).filter(F.col("rows") >= least).select("year", "month", "rows")
 
 
-def window_of(detail: dict, least: int = 1000) -> set[Month]:
+def window_of(detail: dict, least: int = MIN_MONTH_TRIPS) -> set[Month]:
     """The same from the table's log, without a job."""
     return {(int(y), int(m)) for (y, m), n in detail["partitions"].items() if n >= least and y.isdigit() and m.isdigit()}
 
 
 def sliced(df: DataFrame, months: Iterable[Month], products: Sequence[Product]) -> DataFrame:
     """The columns that the products need, of the months that they need; optional columns as NULL where missing."""
-    wanted = list(dict.fromkeys(c for p in products for c in (*p.required, *p.optional)))
+    wanted = list(dict.fromkeys(["year", "month", *(c for p in products for c in (*p.required, *p.optional))]))
     missing = [c for p in products for c in p.required if c not in df.columns]
     if missing:
         raise ValueError(f"the source lacks {sorted(set(missing))}")
@@ -118,19 +218,24 @@ def sliced(df: DataFrame, months: Iterable[Month], products: Sequence[Product])
     return df.filter(month_predicate(months)).select(*columns)
 
 
-def stamped(df: DataFrame, product: Product, source_version: int) -> DataFrame:
+def stamped(df: DataFrame, product: Product, source_version: int, created: datetime, refreshed: datetime) -> DataFrame:
+    """``df`` with where it comes from, its definition's version, when its table was made and when its rows were."""
     return df.withColumns({
-        "product_name": F.lit(product.name), "product_version": F.lit(product.version), "source_version": F.lit(source_version).cast("long"), "built_at": F.current_timestamp(), "engine": F.lit("tidelake"),
-    })
+        "source_table": F.lit(SOURCE), "source_version": F.lit(source_version).cast("long"), "schema_version": F.lit(product.version),
+        "created_at": F.lit(created).cast("timestamp"), "refreshed_at": F.lit(refreshed).cast("timestamp"),
+    })
 
 
-STAMPS = ("product_name", "product_version", "source_version", "built_at", "engine")
 REGISTRY = (
-    "product_name string, product_version string, source_table string, source_version long, source_columns string, mode string, months string, window string, rows long, files long, bytes long, "
-    "product_table_version long, duration_s double, registered_at timestamp, status string"
+    "product_name string, source_table string, source_version long, schema_version string, created_at timestamp, refreshed_at timestamp, row_count long, size_bytes long, num_files long, build_seconds double, "
+    "partitioned_by string, refresh_mode string, refreshed_partitions string, reason string, source_columns string"
 )
 
 
+def months_text(months: Iterable[Month]) -> str:
+    return ",".join(f"{y}-{m:02d}" for y, m in sorted(months)) or "-"
+
+
 class Registry:
     def __init__(self, ws: Workspace) -> None:
         self.table, self.spark = ws.product("_registry"), ws.spark
@@ -140,7 +245,7 @@ class Registry:
         self.table.append(self.spark.createDataFrame([tuple(r.get(f.name) for f in schema) for r in rows], schema), files=1)
 
     def latest(self) -> DataFrame | None:
-        return first_per(self.table.read(), ["product_name"], F.desc("registered_at"), F.desc("source_version")) if self.table.exists() else None
+        return first_per(self.table.read(), ["product_name"], F.desc("refreshed_at"), F.desc("source_version")) if self.table.exists() else None
 
     def entry(self, name: str) -> dict | None:
         rows = self.latest()
@@ -153,31 +258,35 @@ def source_columns(schema: T.StructType, product: Product) -> dict[str, str]:
     return {c: types[c] for c in (*product.required, *product.optional) if c in types}
 
 
-def refresh(ws: Workspace, products: Sequence[Product], window: set[Month], months: set[Month] | None = None, cache: bool = True) -> list[dict]:
+def refresh(ws: Workspace, products: Sequence[Product], window: set[Month], months: set[Month] | None = None, cache: bool = True, reason: str = "asked for") -> list[dict]:
     """Builds products from one shared slice: all months of the window, or the months given (the others stay)."""
     import time
 
-    source = ws.table("integrated_taxi_trips")
+    source = ws.table(SOURCE)
     version, schema = source.latest_version(), source.schema()
     todo = sorted(window if months is None else months & window)
     slice_ = sliced(source.read(version), todo, products)
     if cache:
-        slice_ = slice_.cache()
+        # Several products read the slice; what doesn't fit in memory goes to disk.
+        slice_ = slice_.persist(StorageLevel.MEMORY_AND_DISK)
     entries = []
     try:
         for p in products:
-            began, target = time.perf_counter(), ws.product(p.name)
-            built = stamped(p.build(slice_), p, version)
-            note = json.dumps({"source_version": version, "months": todo})
-            if months is None or not target.exists():
-                at = target.overwrite(built.coalesce(1), ["year", "month"], metadata={"note": note}) if target.exists() else target.create(built.coalesce(1), ["year", "month"], metadata={"note": note})
+            began, target, now = time.perf_counter(), ws.product(p.name), datetime.now(timezone.utc)
+            created = target.detail()["created"] if target.exists() else now
+            built = stamped(p.build(slice_), p, version, created, now)
+            note = {"product": p.name, "source_table": SOURCE, "source_version": version, "schema_version": p.version, "refreshed_at": now.isoformat(), "partitions": "all" if months is None else months_text(months), "reason": reason}
+            if not target.exists():
+                target.create(built, ["year", "month"], metadata=note)
+            elif months is None:
+                target.overwrite(built, ["year", "month"], metadata=note)
             else:
-                at = target.replace(built.coalesce(1), months, metadata={"note": note})
+                target.replace(built, months, metadata=note)
             detail = target.detail()
             entries.append({
-                "product_name": p.name, "product_version": p.version, "source_table": "integrated_taxi_trips", "source_version": version, "source_columns": json.dumps(source_columns(schema, p)),
-                "mode": "full" if months is None else "incremental", "months": json.dumps(sorted(months or window)), "window": json.dumps(sorted(window)), "rows": detail["rows"], "files": detail["files"],
-                "bytes": detail["bytes"], "product_table_version": at, "duration_s": time.perf_counter() - began, "registered_at": datetime.now(timezone.utc), "status": "ok",
+                "product_name": p.name, "source_table": SOURCE, "source_version": version, "schema_version": p.version, "created_at": created, "refreshed_at": now, "row_count": detail["rows"],
+                "size_bytes": detail["bytes"], "num_files": detail["files"], "build_seconds": round(time.perf_counter() - began, 2), "partitioned_by": "year,month", "refresh_mode": "full" if months is None else "incremental",
+                "refreshed_partitions": note["partitions"], "reason": reason, "source_columns": json.dumps(source_columns(schema, p)),
             })
     finally:
         if cache:
@@ -188,9 +297,12 @@ def refresh(ws: Workspace, products: Sequence[Product], window: set[Month], mont
 
 def verify(ws: Workspace, products: Sequence[Product], window: set[Month], tolerance: float = 0.0015) -> dict[str, int]:
     """Rows by which each stored product differs from one built anew."""
-    source = ws.table("integrated_taxi_trips").read()
+    source = ws.table(SOURCE).read()
     out = {}
     for p in products:
-        fresh = p.build(sliced(source, sorted(window), [p]))
-        out[p.name] = differences(ws.product(p.name).read(), fresh, p.grain, p.measures, tolerance).count()
+        stored, fresh = ws.product(p.name).read(), p.build(sliced(source, sorted(window), [p]))
+        out[p.name] = differences(stored, fresh, p.grain, p.measures, tolerance).count()
+        if p.rollup:  # what the months come to, against the same from the rows
+            grain, measures = [c for c in p.grain if c not in ("year", "month")], [c for c in p.measures if not c.startswith("sum_")]
+            out[f"{p.name} (all months)"] = differences(p.rollup(stored), p.rollup(fresh), grain, measures, tolerance).count()
     return out

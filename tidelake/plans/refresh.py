@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from tidelake.plans.pipeline import Workspace
-from tidelake.plans.products import PRODUCTS, Month, Product, Registry, refresh, source_columns, window_of
+from tidelake.plans.products import MIN_MONTH_TRIPS, PRODUCTS, Month, Product, Registry, refresh, source_columns, window_of
 
 SKIP, FULL, INCREMENTAL, BLOCKED = "skip", "full", "incremental", "blocked"
 
@@ -30,8 +30,8 @@ def plan_product(
         return Plan(product.name, BLOCKED, f"the source lost {', '.join(lost)}")
     if entry is None or stored is None:
         return Plan(product.name, FULL, "not built yet")
-    if entry["product_version"] != product.version:
-        return Plan(product.name, FULL, f"version {entry['product_version']} became {product.version}")
+    if entry["schema_version"] != product.version:
+        return Plan(product.name, FULL, f"version {entry['schema_version']} became {product.version}")
     before = json.loads(entry["source_columns"] or "{}")
     if not before:
         return Plan(product.name, FULL, "no schema on record")
@@ -48,7 +48,7 @@ def plan_product(
     return Plan(product.name, INCREMENTAL, f"{len(affected)} months", frozenset(affected))
 
 
-def build_plan(ws: Workspace, names: Sequence[str] | None = None, least: int = 1000) -> tuple[list[Plan], set[Month]]:
+def build_plan(ws: Workspace, names: Sequence[str] | None = None, least: int = MIN_MONTH_TRIPS) -> tuple[list[Plan], set[Month]]:
     source, registry = ws.table("integrated_taxi_trips"), Registry(ws)
     version, window, schema, plans = source.latest_version(), window_of(source.detail(), least), source.schema(), []
     for name in names or PRODUCTS:
@@ -70,11 +70,12 @@ def execute_plan(ws: Workspace, plans: Sequence[Plan], window: set[Month]) -> li
             groups.setdefault(None if p.action == FULL else p.months, []).append(PRODUCTS[p.product])
     out = []
     for months, products in groups.items():
-        out += refresh(ws, products, window, None if months is None else set(months))
+        reasons = {p.product: p.reason for p in plans}
+        out += refresh(ws, products, window, None if months is None else set(months), reason="; ".join(dict.fromkeys(reasons[p.name] for p in products)))
     return out
 
 
-def refresh_affected(ws: Workspace, names: Sequence[str] | None = None, dry_run: bool = False, force_full: bool = False, least: int = 1000) -> list[Plan]:
+def refresh_affected(ws: Workspace, names: Sequence[str] | None = None, dry_run: bool = False, force_full: bool = False, least: int = MIN_MONTH_TRIPS) -> list[Plan]:
     plans, window = build_plan(ws, names, least)
     if force_full:
         plans = [p if p.action == BLOCKED else Plan(p.product, FULL, "asked for") for p in plans]

@@ -76,6 +76,15 @@ class NotNull(Rule):
         return F.col(quoted(self.column)).isNull()
 
 
+@dataclass(frozen=True)
+class Observed(NotNull):
+    """A value that a join should have brought."""
+
+    label: str = ""
+    category = MISSING_REFERENCE
+    name = property(lambda self: self.label)
+
+
 def not_null(*columns: str, action: str = QUARANTINE) -> list[NotNull]:
     return [NotNull(c, action=action) for c in columns]
 
@@ -223,7 +232,7 @@ class Outcome:
 
 
 def enabled() -> bool:
-    return os.environ.get("PLATFORM_VALIDATION", "on").lower() != "off"
+    return os.environ.get("PLATFORM_VALIDATION", "on").lower() not in ("0", "off", "false", "no")
 
 
 def _reasons(rules: Sequence[Rule], action: str) -> Column:

@@ -17,7 +17,7 @@ from tidelake.functions.conform import MALFORMED, conform_types
 from tidelake.operators import joins as J
 from tidelake.operators import relational as R
 from tidelake.plans import ledger, rules
-from tidelake.plans.products import PM25_BANDS, WEATHER_CATEGORIES
+from tidelake.plans.products import MIN_ZONE_TRIPS, PM25_BANDS, WEATHER_CATEGORIES
 from tidelake.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,8 +43,12 @@ def avg(x: str) -> str:
     return f"({s(x)} / nullif(count({x}), 0))"
 
 
-_CASES = " ".join(f"WHEN code IN ({', '.join(map(str, v))}) THEN '{k}'" for k, v in WEATHER_CATEGORIES.items())
-_BANDS = " ".join(f"WHEN v < {b} THEN '{n}'" for b, n in PM25_BANDS)
+# Written out, so that the oracle doesn't share the engine's constants.
+_CASES = (
+    "WHEN code IN (1, 2, 3) THEN 'Clear/Fair' WHEN code IN (4, 5) THEN 'Cloudy/Overcast' WHEN code IN (6, 7) THEN 'Fog' WHEN code IN (8, 9, 17, 18) THEN 'Rain' "
+    "WHEN code IN (14, 15, 16, 19, 20) THEN 'Snow' WHEN code IN (21, 22, 23, 24, 25, 26, 27) THEN 'Storm'"
+)
+_BANDS = "WHEN v < 12 THEN 'Good' WHEN v < 35.4 THEN 'Moderate'"
 _RULES = (
     "CASE WHEN l_quantity > 45 THEN 'in_range(l_quantity,1,45)' END", "CASE WHEN l_discount <= 0 THEN 'positive(l_discount)' END", "CASE WHEN NOT (l_returnflag IN ('A', 'N')) THEN 'allowed_values(l_returnflag)' END"
 )
@@ -55,15 +59,34 @@ b AS (SELECT *, CASE {_CASES} ELSE 'Unknown' END AS category FROM b0),
 f AS (SELECT *, list_filter([{_RULES[0]}, {_RULES[1]}], lambda x: x IS NOT NULL) AS q, list_filter([{_RULES[2]}], lambda x: x IS NOT NULL) AS w FROM lineitem)"""
 
 
-def lines(spark: SparkSession, d: str) -> DataFrame:
-    """Fact A. The optimizer sends whatever dimension proves small; nations and regions are lookups."""
+def joined_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Fact A from its sources. The optimizer sends whatever dimension proves small; nations and regions are lookups."""
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     customers = table(spark, d, "customer").select("c_custkey", "c_nationkey")
     fact = table(spark, d, "lineitem")
     out = fact.join(orders, fact.l_orderkey == orders.o_orderkey, "left").drop("o_orderkey")
     out = out.join(customers, out.o_custkey == customers.c_custkey, "left").drop("c_custkey")
-    places = J.lookup(table(spark, d, "nation"), table(spark, d, "region"), {"n_regionkey": "r_regionkey"}, columns=("r_name",)).withColumnsRenamed({"n_name": "zone", "r_name": "borough"})
-    return J.lookup(out, places, {"c_nationkey": "n_nationkey"}, columns=("zone", "borough")).withColumns(temporal.calendar(F.col("o_orderdate")))
+    return J.lookup(out, places(spark, d), {"c_nationkey": "n_nationkey"}, columns=("zone", "borough")).withColumns(temporal.calendar(F.col("o_orderdate")))
+
+
+def places(spark: SparkSession, d: str) -> DataFrame:
+    return J.lookup(table(spark, d, "nation"), table(spark, d, "region"), {"n_regionkey": "r_regionkey"}, columns=("r_name",)).withColumnsRenamed({"n_name": "zone", "r_name": "borough"})
+
+
+_CURATED: dict[tuple[str, str], str] = {}
+
+
+def lines(spark: SparkSession, d: str) -> DataFrame:
+    """Fact A as a curated table, partitioned by year and month: joined once for a session and data folder, like the
+    integrated table that the loads keep, and read by all analyses."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _CURATED:
+        t = _scratch(spark, "lines")
+        t.create(joined_lines(spark, d), ["year", "month"])
+        _CURATED[key] = t.root
+    from tidelake.sources.table import Table
+
+    return Table(spark, _CURATED[key]).read()
 
 
 def events(spark: SparkSession, d: str) -> DataFrame:
@@ -110,11 +133,11 @@ def demand_by_band(spark, d):
 
 
 @query("""SELECT event_type, sum(n)::BIGINT AS total, round(stddev(n), 6) AS stddev_n, round(stddev(n) / nullif(avg(n), 0), 6) AS variation
-FROM (SELECT event_type, category, count(*) AS n FROM b GROUP BY ALL) GROUP BY event_type HAVING sum(n) >= 10 AND count(*) >= 2""")
+FROM (SELECT event_type, category, count(*) AS n FROM b GROUP BY ALL) GROUP BY event_type HAVING sum(n) >= 500 AND count(*) >= 2""")
 def zone_condition_variation(spark, d):
     by = events(spark, d).groupBy("event_type", "category").agg(count("n")).groupBy("event_type")
     out = by.agg(F.sum("n").alias("total"), F.round(F.stddev("n"), 6).alias("stddev_n"), F.round(X.safe_ratio(F.stddev("n"), F.avg("n")), 6).alias("variation"), count("k"))
-    return out.filter("total >= 10 and k >= 2").drop("k")
+    return out.filter(f"total >= {MIN_ZONE_TRIPS} and k >= 2").drop("k")
 
 
 _GRID = "SELECT dayname(ts) AS weekday, hour(ts)::INT AS h, count(*) AS n FROM b GROUP BY ALL"
@@ -139,19 +162,29 @@ def monthly_trend(spark, d):
     return R.change(by, ["year", "month"], "n")
 
 
+def _by_place(df: DataFrame, spark: SparkSession, d: str, **measures: Column) -> DataFrame:
+    """Measures by nation, then the nation's region: the lookup meets a few rows, not the fact's."""
+    by = df.groupBy("c_nationkey").agg(*measures.values())
+    return J.lookup(by, places(spark, d), {"c_nationkey": "n_nationkey"}, columns=("zone", "borough"))
+
+
 @query("SELECT borough, count(*) AS lines FROM a GROUP BY borough")
 def lines_per_region(spark, d):
-    return lines(spark, d).groupBy("borough").agg(count("lines"))
+    return _by_place(lines(spark, d), spark, d, n=count("n")).groupBy("borough").agg(F.sum("n").alias("lines"))
 
 
-@query(f"SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, {avg('epoch(l_shipdate) / 60.0 - epoch(o_orderdate) / 60.0')} AS avg_minutes FROM a GROUP BY 1")
+@query(f"SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, sum(CAST(epoch(l_shipdate) AS BIGINT) - CAST(epoch(o_orderdate) AS BIGINT))::DOUBLE / nullif(count(l_shipdate), 0) / 60 AS avg_minutes FROM a WHERE o_orderdate IS NOT NULL GROUP BY 1")
 def avg_shipping_minutes_per_day(spark, d):
-    return lines(spark, d).groupBy(F.to_date("o_orderdate").cast("string").alias("day")).agg(X.exact_avg(temporal.minutes_between(F.col("o_orderdate"), F.col("l_shipdate"))).alias("avg_minutes"))
+    # Whole seconds add up exactly.
+    seconds = F.unix_timestamp(F.col("l_shipdate").cast("timestamp")) - F.unix_timestamp(F.col("o_orderdate").cast("timestamp"))
+    by = lines(spark, d).filter("o_orderdate is not null").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.sum(seconds).cast("double").alias("s"), F.count("l_shipdate").alias("n"))
+    return by.select(F.col("day").cast("string").alias("day"), (X.safe_ratio(F.col("s"), F.col("n")) / 60).alias("avg_minutes"))
 
 
 @query(f"SELECT borough, {avg('l_extendedprice')} AS avg_price FROM a GROUP BY borough")
 def avg_price_per_region(spark, d):
-    return lines(spark, d).groupBy("borough").agg(X.exact_avg(F.col("l_extendedprice")).alias("avg_price"))
+    by = _by_place(lines(spark, d), spark, d, s=X.exact_sum(F.col("l_extendedprice")).alias("s"), n=F.count("l_extendedprice").alias("n"))
+    return by.groupBy("borough").agg(X.safe_ratio(X.exact_sum(F.col("s")), F.sum("n")).alias("avg_price"))
 
 
 @query("SELECT zone, borough, count(*) AS n FROM a WHERE l_extendedprice > 50000 AND zone IS NOT NULL GROUP BY ALL")
@@ -226,7 +259,7 @@ _IMPACT = f"SELECT year(ts)::INT AS year, month(ts)::INT AS month, category, eve
 def condition_impact_monthly(spark, d):
     v = F.col("value")
     by = events(spark, d).filter("category <> 'Unknown'").groupBy(F.year("ts").alias("year"), F.month("ts").alias("month"), "category", "event_type")
-    return by.agg(count("trips"), X.exact_sum(v).alias("sum_value"), X.exact_sum(v * v).alias("sum_value2"))
+    return by.agg(count("trips"), X.exact_sum(v).alias("sum_value"), X.exact_sum(v * v, 4).alias("sum_value2"))  # of values with two decimals
 
 
 @query(f"""SELECT category, n AS trips, t / n AS avg_value, CASE WHEN n > 1 THEN sqrt(greatest(q - t * t / n, 0) / (n - 1)) END AS stddev_value
@@ -492,48 +525,178 @@ def time_travel_diff(spark, d):
 
 def _ledger(spark, d):
     """A ledger derived from orders: one execution each, so that its queries have an oracle."""
-    o = table(spark, d, "orders")
+    o, k = table(spark, d, "orders"), F.col("o_custkey")
     return o.select(
-        F.col("o_orderpriority").alias("dataset"), F.col("o_orderkey").cast("string").alias("execution_id"), F.when(F.col("o_orderstatus") == "F", "failed").otherwise("success").alias("status"),
-        F.col("o_orderdate").alias("started_at"), F.floor("o_totalprice").cast("double").alias("duration_s"), F.col("o_custkey").alias("rows_read"), (F.col("o_custkey") % 7).alias("rows_quarantined"),
-        F.lit(1).cast("long").alias("rows_inserted"), F.lit(None).cast("string").alias("error"), (F.col("o_custkey") % 3).alias("schema_version"), F.lit("x").alias("schema_fingerprint"), F.col("o_orderkey").cast("string").alias("source"),
+        F.col("o_orderpriority").alias("dataset"), F.col("o_orderkey").cast("string").alias("execution_id"), F.when(F.col("o_orderstatus") == "F", "failed").when(F.col("o_orderstatus") == "P", "rejected").otherwise("succeeded").alias("status"),
+        # Distinct moments, so that no order is left to chance.
+        (F.col("o_orderdate") + F.make_dt_interval(secs=F.col("o_orderkey") % 86400)).alias("started_at"), F.concat(F.lit("p"), (k % 2).cast("string")).alias("pipeline"),
+        F.floor("o_totalprice").cast("double").alias("execution_time_seconds"), (k % 5).cast("double").alias("validate_seconds"), (k % 3).cast("double").alias("write_seconds"),
+        (k * 100).alias("processed_records"), (k % 7).alias("rejected_records"), (k % 4).alias("quarantined_records"), (k % 7 - k % 4).alias("dropped_records"), (k % 2).alias("warning_records"), (k * 90).alias("inserted_records"),
+        (k % 3).cast("int").alias("validation_failures"), (k % 3 + 1).cast("int").alias("schema_version"), F.concat(F.lit("c"), (F.col("o_orderkey") % 11).cast("string")).alias("schema_changes"), (F.col("o_orderkey") % 13).alias("target_version"),
+        F.lit(None).cast("string").alias("error_message"),
     )
 
 
-_LEDGER = "(SELECT o_orderpriority AS dataset, o_orderkey::VARCHAR AS execution_id, CASE WHEN o_orderstatus = 'F' THEN 'failed' ELSE 'success' END AS status, o_orderdate AS started_at, floor(o_totalprice) AS duration_s, o_custkey AS rows_read, o_custkey % 7 AS rows_quarantined, o_custkey % 3 AS schema_version FROM orders) e"
+_LEDGER = """(SELECT o_orderpriority AS dataset, o_orderkey::VARCHAR AS execution_id, CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'P' THEN 'rejected' ELSE 'succeeded' END AS status,
+o_orderdate + to_seconds(o_orderkey % 86400) AS started_at, 'p' || (o_custkey % 2) AS pipeline, floor(o_totalprice) AS execution_time_seconds, (o_custkey % 5)::DOUBLE AS validate_seconds, (o_custkey % 3)::DOUBLE AS write_seconds,
+o_custkey * 100 AS processed_records, o_custkey % 7 AS rejected_records, o_custkey % 4 AS quarantined_records, o_custkey % 7 - o_custkey % 4 AS dropped_records, o_custkey % 2 AS warning_records, o_custkey * 90 AS inserted_records,
+(o_custkey % 3)::INT AS validation_failures, (o_custkey % 3 + 1)::INT AS schema_version, 'c' || (o_orderkey % 11) AS schema_changes, o_orderkey % 13 AS target_version, NULL::VARCHAR AS error_message FROM orders) e"""
 
 
-@query(f"SELECT dataset, count(*) AS executions, count(*) FILTER (status <> 'success') AS failures, count(*) FILTER (status <> 'success')::DOUBLE / count(*) AS failure_rate FROM {_LEDGER} GROUP BY 1 HAVING failures > 0")
+@query(f"""SELECT dataset, count(*) AS executions, sum((validation_failures > 0)::INT)::BIGINT AS executions_with_failures, sum(validation_failures)::BIGINT AS failed_checks, sum(rejected_records)::BIGINT AS rejected_records,
+round(100.0::DOUBLE * sum(rejected_records)::DOUBLE / nullif(sum(processed_records), 0)::DOUBLE, 3) AS pct_records_rejected FROM {_LEDGER} GROUP BY 1""")
 def ledger_failing_datasets(spark, d):
     return ledger.failing_datasets(_ledger(spark, d))
 
 
-@query(f"SELECT dataset, count(*) AS executions, avg(duration_s) AS avg_s, max(duration_s) AS max_s, sum(rows_read)::BIGINT AS rows_read, sum(rows_read)::DOUBLE / nullif(avg(duration_s) * count(*), 0) AS rows_per_s FROM {_LEDGER} GROUP BY 1")
+@query(f"""SELECT dataset, count(*) AS executions, round(avg(execution_time_seconds), 2) AS avg_seconds, round(max(execution_time_seconds), 2) AS max_seconds, round(sum(execution_time_seconds), 2) AS total_seconds,
+round(avg(validate_seconds), 2) AS avg_validate_seconds, round(avg(write_seconds), 2) AS avg_write_seconds, round(sum(processed_records)::DOUBLE / nullif(sum(execution_time_seconds), 0)) AS records_per_second FROM {_LEDGER} WHERE status = 'succeeded' GROUP BY 1""")
 def ledger_slowest_datasets(spark, d):
     return ledger.slowest_datasets(_ledger(spark, d))
 
 
-@query(f"SELECT execution_id, dataset, started_at, rows_read, rows_quarantined, rows_quarantined::DOUBLE / nullif(rows_read, 0) AS rejection_rate FROM {_LEDGER}")
+@query(f"""SELECT started_at, pipeline, dataset, status, processed_records, rejected_records, quarantined_records, dropped_records, warning_records,
+round(100.0::DOUBLE * rejected_records::DOUBLE / nullif(processed_records, 0)::DOUBLE, 3) AS pct_rejected, inserted_records FROM {_LEDGER}""")
 def ledger_rejections_per_execution(spark, d):
     return ledger.rejections_per_execution(_ledger(spark, d))
 
 
-@query(f"SELECT dataset, execution_id, started_at, duration_s, lag(duration_s) OVER o AS previous_s, (duration_s - lag(duration_s) OVER o) / nullif(lag(duration_s) OVER o, 0) AS relative_change, avg(duration_s) OVER (PARTITION BY dataset ORDER BY started_at, execution_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS moving_avg_s FROM {_LEDGER} WINDOW o AS (PARTITION BY dataset ORDER BY started_at, execution_id)")
+@query(f"""SELECT dataset, started_at, pipeline, processed_records, execution_time_seconds, round(execution_time_seconds - lag(execution_time_seconds) OVER o, 2) AS change_vs_previous,
+round(avg(execution_time_seconds) OVER (PARTITION BY dataset ORDER BY started_at ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS moving_avg_3, round(processed_records::DOUBLE / nullif(execution_time_seconds, 0)) AS records_per_second
+FROM {_LEDGER} WHERE status = 'succeeded' WINDOW o AS (PARTITION BY dataset ORDER BY started_at)""")
 def ledger_processing_time_trend(spark, d):
     return ledger.processing_time_trend(_ledger(spark, d))
 
 
-@query(f"SELECT dataset, schema_version, 'x' AS schema_fingerprint, min(started_at) AS first_seen, max(started_at) AS last_seen, count(*) AS executions FROM {_LEDGER} GROUP BY 1, 2")
+@query(f"SELECT dataset, schema_version, min(started_at) AS first_seen, max(started_at) AS last_seen, count(*) AS executions, arg_min(schema_changes, started_at) AS changes_when_introduced FROM {_LEDGER} GROUP BY 1, 2")
 def ledger_schema_history(spark, d):
-    return ledger.schema_history(_ledger(spark, d)).drop("first_source")
+    return ledger.schema_history(_ledger(spark, d))
 
 
-@query(f"SELECT dataset, execution_id, status, started_at, 1::BIGINT AS rows_inserted, NULL::VARCHAR AS error FROM {_LEDGER} QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY started_at DESC, execution_id DESC) = 1")
+@query(f"""SELECT dataset, started_at, pipeline, status, schema_version, processed_records, inserted_records, rejected_records, validation_failures, execution_time_seconds, target_version, error_message
+FROM {_LEDGER} QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY started_at DESC, execution_id DESC) = 1""")
 def ledger_latest_status(spark, d):
     return ledger.latest_status(_ledger(spark, d))
 
 
-@query(f"SELECT dataset, CASE WHEN rows_quarantined < 3 THEN 'low' ELSE 'high' END AS rule, 'invalid_value' AS category, count(*) AS times, sum(rows_quarantined)::BIGINT AS rows_failed FROM {_LEDGER} WHERE status = 'failed' GROUP BY 1, 2 ORDER BY rows_failed DESC, dataset, rule LIMIT 25")
+def _results(spark, d):
+    """Check results derived from the same."""
+    return _ledger(spark, d).select(
+        "execution_id", "dataset", F.when(F.col("quarantined_records") < 2, "low").otherwise("high").alias("rule_name"), F.lit("invalid_value").alias("category"), F.lit("quarantine").alias("action"),
+        F.when(F.col("status") == "failed", "failed").otherwise("passed").alias("status"), F.nullif("rejected_records", F.lit(0)).alias("failed_records"), F.col("processed_records").alias("checked_records"), F.lit(None).cast("string").alias("details"),
+    )
+
+
+_RESULTS = f"""(SELECT execution_id, dataset, CASE WHEN quarantined_records < 2 THEN 'low' ELSE 'high' END AS rule_name, 'invalid_value' AS category, 'quarantine' AS action, CASE WHEN status = 'failed' THEN 'failed' ELSE 'passed' END AS status,
+nullif(rejected_records, 0) AS failed_records, processed_records AS checked_records, NULL::VARCHAR AS details, started_at FROM {_LEDGER})"""
+
+
+@query(f"""SELECT dataset, rule_name, category, action, count(*) AS executions_failed, sum(coalesce(failed_records, 0))::BIGINT AS failed_records FROM {_RESULTS} WHERE status IN ('failed', 'warning')
+GROUP BY ALL ORDER BY executions_failed DESC, failed_records DESC, dataset, rule_name LIMIT 25""")
 def ledger_failing_rules(spark, d):
-    checks = _ledger(spark, d).select("dataset", F.when(F.col("rows_quarantined") < 3, "low").otherwise("high").alias("rule"), F.lit("invalid_value").alias("category"), "status", F.col("rows_quarantined").alias("rows_failed"))
-    return ledger.failing_rules(checks)
+    return ledger.failing_rules(_results(spark, d))
+
+
+@query(f"""SELECT * EXCLUDE (execution_id, started_at) FROM {_RESULTS} QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY started_at DESC, execution_id DESC) = 1""".replace("SELECT * EXCLUDE", "SELECT * FROM (SELECT * EXCLUDE", 1) + ") WHERE status <> 'passed'")
+def ledger_latest_results(spark, d):
+    return ledger.latest_results(_ledger(spark, d), _results(spark, d))
+
+
+@query(f"SELECT dataset, category, sum((status IN ('failed', 'warning'))::INT)::BIGINT AS checks_with_findings, sum(coalesce(failed_records, 0))::BIGINT AS records_flagged FROM {_RESULTS} GROUP BY 1, 2 HAVING checks_with_findings > 0")
+def ledger_category_totals(spark, d):
+    return ledger.category_totals(_results(spark, d))
+
+
+# the products as they are, over order lines that play trips
+
+
+def trips(spark: SparkSession, d: str) -> DataFrame:
+    """Order lines under the names that the products read; prices and quantities stand for amounts and distances."""
+    df = lines(spark, d)
+    number = lambda c: F.col(c).cast("double")
+    return df.select(
+        F.col("o_orderdate").alias("tpep_pickup_datetime"), temporal.local_hour(F.col("o_orderdate")).alias("pickup_hour"), F.col("l_quantity").alias("trip_distance"), F.col("l_extendedprice").alias("total_amount"),
+        F.col("l_extendedprice").alias("fare_amount"), F.col("l_linenumber").alias("passenger_count"), (F.col("l_suppkey") % 40).cast("double").alias("temp"), number("l_linenumber").alias("prcp"),
+        F.when(F.col("l_partkey") % 5 != 0, (F.col("l_partkey") % 50).cast("double")).alias("pm25"), (F.col("l_partkey") % 29).cast("int").alias("coco"), F.col("zone").alias("pickup_zone"), F.col("borough").alias("pickup_borough"),
+        (F.col("l_suppkey") % 100).cast("double").alias("humidity"), "year", "month",
+    )
+
+
+# Values have two decimals at most, so that sums of these decimals are exact and each average is rounded from the same double.
+def _sum(x: str) -> str:
+    return f"CAST(sum(CAST({x} AS DECIMAL(18,4))) AS DOUBLE)"
+
+
+def _mean(x: str, places: int) -> str:
+    # Half up by the digits that the double shows, which is Spark's rule for doubles.
+    return f"CAST(round(CAST(CAST({_sum(x)} / nullif(count({x}), 0)::DOUBLE AS VARCHAR) AS DECIMAL(38,16)), {places}) AS DOUBLE)"
+
+
+_TRIPS = """(SELECT o_orderdate AS ts, date_trunc('hour', o_orderdate) AS pickup_hour, l_quantity AS dist, l_extendedprice AS amount, l_linenumber::DOUBLE AS people, (l_suppkey % 40)::DOUBLE AS temp, l_linenumber::DOUBLE AS prcp,
+CASE WHEN l_partkey % 5 <> 0 THEN (l_partkey % 50)::DOUBLE END AS pm25, l_partkey % 29 AS code, zone AS pickup_zone, borough AS pickup_borough, (l_suppkey % 100)::DOUBLE AS humidity, year, month FROM a) t"""
+_BASIC = f"count(*) AS trip_count, round({_sum('dist')}, 2) AS total_distance_miles"
+
+
+def _product(name: str):
+    def build(spark, d):
+        from tidelake.plans.products import PRODUCTS
+
+        product, df = PRODUCTS[name], trips(spark, d)
+        return product.build(df.withColumns({c: F.lit(None).cast("double") for c in product.optional if c not in df.columns}))
+
+    build.__name__ = f"product_{name}"
+    return build
+
+
+query(f"""SELECT ts::DATE AS service_date, dayname(ts) AS day_of_week, {_BASIC}, round({_sum('amount')}, 2) AS total_revenue, {_mean('dist', 3)} AS avg_trip_distance, {_mean('amount', 2)} AS avg_trip_revenue, {_mean('people', 2)} AS avg_passengers,
+{_mean('temp', 1)} AS avg_temp_c, {_mean('prcp', 2)} AS avg_precip_mm, {_mean('pm25', 1)} AS avg_pm25, {_mean('humidity', 1)} AS avg_humidity, year, month FROM {_TRIPS} GROUP BY 1, 2, year, month""")(_product("daily_mobility_summary"))
+query(f"""SELECT *, rank() OVER (PARTITION BY year, month ORDER BY trip_count DESC)::INT AS demand_rank, round(100 * (trip_count::DOUBLE / sum(trip_count) OVER (PARTITION BY year, month)::DOUBLE), 3) AS pct_of_monthly_trips
+FROM (SELECT year, month, pickup_zone, pickup_borough, {_BASIC}, round({_sum('amount')}, 2) AS total_revenue, {_mean('dist', 3)} AS avg_trip_distance, {_mean('amount', 2)} AS avg_fare FROM {_TRIPS} WHERE pickup_zone IS NOT NULL GROUP BY 1, 2, 3, 4)""")(_product("taxi_zone_statistics"))
+_WEATHER = f"""SELECT year, month, CASE {_CASES} ELSE 'Unknown' END AS weather_category, pickup_zone, pickup_borough, {_BASIC}, round({_sum('amount')}, 2) AS total_revenue, {_mean('dist', 3)} AS avg_trip_distance,
+round(stddev(dist), 3) AS stddev_trip_distance, {_sum('dist')} AS sum_distance, {_sum('dist * dist')} AS sum_sq_distance, {_sum('amount')} AS sum_revenue FROM {_TRIPS} WHERE weather_category <> 'Unknown' AND pickup_zone IS NOT NULL GROUP BY 1, 2, 3, 4, 5"""
+query(_WEATHER)(_product("weather_impact_summary"))
+query(f"""SELECT pickup_hour, round(level, 2) AS pm25, CASE WHEN level < 12 THEN 'Good' WHEN level < 35.4 THEN 'Moderate' ELSE 'Unhealthy' END AS aqi_band, trip_count, total_distance_miles, avg_trip_distance, NULL::DOUBLE AS avg_aqi, year, month
+FROM (SELECT pickup_hour, {_sum('pm25')} / count(pm25)::DOUBLE AS level, {_BASIC}, {_mean('dist', 3)} AS avg_trip_distance, year, month FROM {_TRIPS} WHERE pm25 IS NOT NULL GROUP BY pickup_hour, year, month)""")(_product("air_quality_impact_summary"))
+_BOROUGH = f"""SELECT year, month, pickup_borough, dayname(ts) AS day_of_week, (dayofweek(ts) + 1)::INT AS day_of_week_num, hour(ts)::INT AS hour_of_day, {_BASIC}, round({_sum('amount')}, 2) AS total_revenue, {_mean('dist', 3)} AS avg_trip_distance,
+{_sum('dist')} AS sum_distance, {_sum('amount')} AS sum_revenue FROM {_TRIPS} WHERE pickup_borough IS NOT NULL GROUP BY ALL"""
+query(_BOROUGH)(_product("borough_mobility_summary"))
+_ALL = f"sum(trip_count)::BIGINT AS trip_count, round({_sum('sum_distance')}, 2) AS total_distance_miles, round({_sum('sum_revenue')}, 2) AS total_revenue, round({_sum('sum_distance')} / sum(trip_count)::DOUBLE, 3) AS avg_trip_distance"
+
+
+@query(f"""SELECT weather_category, pickup_zone, pickup_borough, {_ALL}, round(CASE WHEN sum(trip_count) > 1 THEN sqrt(greatest({_sum('sum_sq_distance')} - {_sum('sum_distance')} * {_sum('sum_distance')} / sum(trip_count)::DOUBLE, 0)
+/ (sum(trip_count) - 1)::DOUBLE) END, 3) AS stddev_trip_distance FROM ({_WEATHER}) GROUP BY 1, 2, 3""")
+def weather_impact_all_months(spark, d):
+    from tidelake.plans.products import weather_rollup
+
+    return weather_rollup(QUERIES["product_weather_impact_summary"](spark, d))
+
+
+@query(f"SELECT pickup_borough, day_of_week, day_of_week_num, hour_of_day, {_ALL} FROM ({_BOROUGH}) GROUP BY 1, 2, 3, 4")
+def borough_mobility_all_months(spark, d):
+    from tidelake.plans.products import borough_rollup
+
+    return borough_rollup(QUERIES["product_borough_mobility_summary"](spark, d))
+
+
+WEEKDAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
+
+
+@query(f"SELECT weekday, h, n FROM (SELECT *, rank() OVER (PARTITION BY weekday ORDER BY n DESC) AS r FROM ({_GRID})) WHERE r = 1")
+def peak_hours_in_order_of_weekdays(spark, d):
+    """As peak_hour_per_weekday, from Monday on."""
+    rank = F.array_position(F.array(*[F.lit(w) for w in WEEKDAYS]), F.col("weekday"))
+    return peak_hour_per_weekday(spark, d).orderBy(rank, "h")
+
+
+#: The six analyses that the integrated table answers.
+ANALYSES = ("monthly_demand_per_zone", "distance_by_condition", "hourly_context_vs_demand", "zone_condition_variation", "peak_hour_per_weekday", "monthly_trend")
+
+
+def run_all(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    return {name: QUERIES[name](spark, d) for name in ANALYSES}
+
+
+@query(f"SELECT split, event_type, count(*) AS hours, sum(n)::BIGINT AS n, count(n_lag_24h) AS lagged, min(n) AS least, max(n) AS most FROM ({_LAGGED}) GROUP BY 1, 2")
+def dataset_by_split_and_type(spark, d):
+    by = training_dataset(spark, d).groupBy("split", "event_type")
+    return by.agg(count("hours"), F.sum("n").alias("n"), F.count("n_lag_24h").alias("lagged"), F.min("n").alias("least"), F.max("n").alias("most"))
