@@ -149,32 +149,49 @@ def test_word_hashes():
     assert len(common.word_hashes(long)) == len(long.split())
 
 
-def test_decontaminate(spark, texts):
+@pytest.mark.parametrize("block_bytes", [8 << 20, 600])
+def test_decontaminate(spark, texts, block_bytes, monkeypatch, tmp_path):
     from tests.llm.conftest import frame, prose
 
-    items = [(0, prose(20, 30)), (1, prose(21, 400)), (2, "too short"), (3, None), (4, ""), (None, prose(22, 12)), (6, prose(20, 30))]
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block_bytes)
+    items = [(0, prose(20, 30)), (1, prose(21, 400)), (2, "too short"), (3, None), (4, ""), (None, prose(22, 12)), (6, prose(20, 30)), (7, prose(23, 5)), (8, prose(24, 8)), (9, "Singleword")]
     r = random.Random(1)
     data = list(texts)
-    for k in range(60):
-        item = items[r.choice([0, 1, 5])][1].split()
+    for k in range(90):
+        item = items[r.choice([0, 1, 2, 5, 7, 8, 9])][1].split()
         for _ in range(r.randrange(3)):
             item[r.randrange(len(item))] = "changed"
-        data.append((1000 + k, prose(100 + k, r.randrange(300)) + " " + "\n".join(item).upper() + " " + prose(200 + k, r.randrange(3000))))
+        front = prose(100 + k, r.randrange(300) if k % 4 else 0)
+        data.append((1000 + k, front + " " + "\n".join(item).upper() + " " + prose(200 + k, r.randrange(3000))))
     docs = frame(spark, data)
 
-    def shingles(t):
-        w = (t or "").lower().split()
-        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    def shingles(words, size):
+        return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)}
 
-    want = [(i, j, len(b), len(a & b)) for i, t in data for j, x in items for a, b in [(shingles(t), shingles(x))] if b and 100 * len(a & b) >= 80 * len(b)]
+    want = []
+    for i, t in data:
+        for j, x in items:
+            doc, item = ((y or "").encode().lower().split() for y in (t, x))
+            size = min(5, len(item))
+            if size:
+                a, b = shingles(doc, size), shingles(item, size)
+                if 100 * len(a & b) >= 80 * len(b):
+                    want.append((i, j, len(b), len(a & b)))
+    assert len(want) > 40 and {j for _, j, *_ in want} >= {0, 1, 2, None, 7, 8, 9}
     bench = spark.createDataFrame(items, "item_id long, text string")
-    assert len(want) > 30
     assert pairs((x.doc_id, x.item_id, x.n_item_shingles, x.n_shared) for x in decontaminate.search(docs, bench).collect()) == pairs(want)
     hit = {i for i, *_ in want}
     assert pairs((x.doc_id, x.text) for x in decontaminate.clean(docs, bench).collect()) == pairs((i, t) for i, t in data if i not in hit)
     assert decontaminate.search(docs, bench.limit(0)).count() == 0
     assert decontaminate.clean(docs, bench.limit(0)).count() == len(data)
     assert decontaminate.search(docs.limit(0), bench).count() == 0
+    if block_bytes > 1000:
+        con = duckdb.connect()
+        for name, df in (("documents", docs), ("benchmark", bench)):
+            df.write.parquet(f"{tmp_path}/{name}.parquet")
+            con.execute(f"create view {name} as select * from read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+        got = con.execute(decontaminate.SQL).fetchall()
+        assert pairs(x[:4] for x in got) == pairs(want)
 
 
 def test_toxicity(spark, docs, empty):
