@@ -341,6 +341,8 @@ def test_lm_scores(spark, texts, monkeypatch, tmp_path):
     monkeypatch.setattr(lm_scoring, "HEAD", 40)
     monkeypatch.setattr(lm_scoring, "CLASSES", 20)
     monkeypatch.setattr(lm_scoring, "BATCH", 64)
+    monkeypatch.setattr(lm_scoring, "TAIL", 8)
+    monkeypatch.setattr(lm_scoring, "SHARD_TOKENS", 2000)
     r, data = random.Random(4), list(texts)
     for k in range(400):  # each word but the first is told by the one before
         word, out = r.randrange(12), []
@@ -348,7 +350,10 @@ def test_lm_scores(spark, texts, monkeypatch, tmp_path):
             out.append(f"w{word}")
             word = (word * 5 + 1) % 12 if r.random() < 0.95 else r.randrange(12)
         data.append((2000 + k, " ".join(out)))
-    got = lm_scoring.score(frame(spark, data)).collect()
+    found = lm_scoring.learned(frame(spark, data).repartition(5))
+    again = lm_scoring.learned(frame(spark, data).repartition(2))
+    assert (found.model.flat() == again.model.flat()).all()  # whatever the partitions
+    got = lm_scoring.score(frame(spark, data), found).collect()
     c, tokens = collections.Counter(), {}
     out_of = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
     for i, t in data:
@@ -363,10 +368,31 @@ def test_lm_scores(spark, texts, monkeypatch, tmp_path):
     assert all(x.score < 0 and math.isfinite(x.score) for x in got)
     assert lm_scoring.score(frame(spark, [])).count() == 0
 
+    # The score by hand: a softmax over all classes for each token, then the token's share of its class.
+    m, head = found.model, {t: k for k, (t, _) in enumerate(found.head[:20])}
+    class_of = lambda t: head[t] if t in head else 20 + spark_hash(t[-2:]) % 8
+    mass = collections.Counter()
+    for t, k in c.items():
+        if t not in head:
+            mass[class_of(t)] += k + 1
+    by_id = {x.doc_id: x.score for x in got if x.doc_id is not None}
+    for i, t in data[::7]:
+        if i is None or sum(i == j for j, _ in data) > 1:
+            continue
+        before, total = [len(m.share)] * 2, 0.0
+        for word in tokens[i, t][:400]:
+            q = m.context[before[-2]] * m.weights[0] + m.context[before[-1]] * m.weights[1]
+            s = (m.target @ q + m.bias).astype(float)
+            k = class_of(word)
+            total += (s[k] - s.max() - math.log(np.exp(s - s.max()).sum())) / math.log(10)
+            total += 0 if word in head else math.log10((c[word] + 1) / (mass[k] + 1))
+            before.append(k)
+        assert len(tokens[i, t]) > 400 or abs(total - by_id[i]) < 1e-3 * max(1, abs(total))
+
 
 def test_lm_normalised():
     """Over classes the probabilities of any context sum up to 1."""
-    model = lm_scoring.Model(6, np.arange(1.0, 8.0))
+    model = lm_scoring.Model(np.arange(1.0, 8.0))
     trainer, r = lm_scoring.Trainer(model, 1), np.random.default_rng(2)
     for _ in range(50):
         trainer.step(*r.integers(0, 7, (3, 64)).astype(np.int32))

@@ -1,17 +1,19 @@
 """LM scoring by a log-bilinear neural model, trained in numpy with noise-contrastive estimation (operator 7).
 
 Tokens are the words of a text with A-Z in lower case, then one end. Counts of all training tokens are gathered from the
-whole corpus. The ``CLASSES`` most frequent tokens are classes of their own, all others share one class.
+whole corpus. The ``CLASSES`` most frequent tokens are classes of their own; all others, known or not, share ``TAIL``
+classes by their last two bytes, so that the context tells what kind of rare word comes, as of which language.
 
 Model (Mnih and Hinton, "Three new graphical models for statistical language modelling", 2007): the two tokens before a
 token, through context weights, predict a vector; the score of a class is its product with the class's vector, plus a
 bias. Training by noise-contrastive estimation (Mnih and Teh, 2012), minibatch by minibatch with noise shared in the
-minibatch, so that all is matrix products. Every executor task trains on all its training documents from the same start;
-the parameters are then averaged by the tokens seen, summed up in ``MIXERS`` partial sums, so that the driver gets a
-fixed number of them. ``ROUNDS`` such passes are made.
+minibatch, so that all is matrix products. The training documents are dealt by a hash of id and text into shards of about
+``SHARD_TOKENS`` tokens, in ``ROUNDS`` rounds: in a round each of its shards is trained on from the same start, then
+parameters are averaged by the tokens seen, in the order of the shards. So the number of shards follows the corpus, and the
+model doesn't depend on partitions or on the order in which tasks end.
 
 Scores are normalised over classes for each context (the normaliser of a context is worked out once by a product with
-all class vectors and kept), and over the tokens of the shared class by add-one unigram probability, unseen tokens being
+all class vectors and kept), and over the tokens of a shared class by add-one unigram probability, unseen tokens being
 one further kind. So the probabilities of all tokens after any context sum up to 1.
 
 Counts are applied to texts in two tiers: the most frequent tokens, at most ``HEAD``, are sent to all executors;
@@ -19,26 +21,29 @@ the others go by a join on the token's hash, in which no key has more rows than
 
 Defined results: a null text is an empty one, that is one end token. A null id counts as an empty string for crc32. Rows
 are scored one by one; repeated rows count as often as they occur. With no training tokens all scores follow the
-smoothed, empty counts. Only ``doc_id`` and ``text`` are read.
+smoothed, empty counts. Only ``doc_id`` and ``text`` are read. An empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelake.llm.common import byte_texts, sliced, table, written
+from tidelake.llm.common import byte_texts, dropped, row_key, sliced, table, written
 
 CLASSES = 1023
+TAIL = 512
 DIMENSIONS = 16
 NOISE = 32
 BATCH = 2048
 RATE = 0.1
-ROUNDS = 1
+ROUNDS = 4
+SHARD_TOKENS = 1 << 21
 MIXERS = 16
 HEAD = 1 << 18
 END = b""  # no word is empty
@@ -86,26 +91,39 @@ def counts(docs: DataFrame) -> DataFrame:
     return summed.select("token", F.xxhash64("token").alias("hash"), "c")
 
 
+def tail_class(token: bytes, tail: int) -> int:
+    """Which of ``tail`` shared classes a token is of; ``tail_class_of`` is the same as a column."""
+    import xxhash
+
+    return xxhash.xxh64_intdigest(token[-2:], 42) % tail
+
+
+def tail_class_of(token: str):
+    return F.pmod(F.xxhash64(F.expr(f"substring({token}, greatest(octet_length({token}) - 1, 1), 2)")), F.lit(TAIL))
+
+
 class Model:
-    """Vectors, context weights and biases of the classes; class CLASSES is the shared one, CLASSES + 1 the start."""
+    """Vectors, context weights and biases of the classes; the context after the last class is the start of a text."""
 
-    def __init__(self, classes: int, share: np.ndarray) -> None:
-        random = np.random.default_rng(5)
+    def __init__(self, share: np.ndarray) -> None:
+        random, classes = np.random.default_rng(5), len(share)
         self.share = share / share.sum()  # of each class among training tokens
-        self.context = random.normal(0, 0.1, (classes + 2, DIMENSIONS)).astype(np.float32)
-        self.target = random.normal(0, 0.1, (classes + 1, DIMENSIONS)).astype(np.float32)
+        self.context = random.normal(0, 0.1, (classes + 1, DIMENSIONS)).astype(np.float32)
+        self.target = random.normal(0, 0.1, (classes, DIMENSIONS)).astype(np.float32)
         self.weights = np.ones((2, DIMENSIONS), np.float32)
         self.bias = np.log(np.maximum(self.share, 1e-12)).astype(np.float32)
+        #: Sums of squared gradients, which set the steps.
+        self.squares = [np.full_like(x, 1e-3) for x in self.arrays()]
 
     def arrays(self) -> list[np.ndarray]:
         return [self.context, self.target, self.weights, self.bias]
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in self.arrays()])
+        return np.concatenate([x.ravel() for x in (*self.arrays(), *self.squares)])
 
     def load(self, flat: np.ndarray) -> None:
         at = 0
-        for x in self.arrays():
+        for x in (*self.arrays(), *self.squares):
             x[...] = flat[at : at + x.size].reshape(x.shape)
             at += x.size
 
@@ -118,7 +136,6 @@ class Trainer:
 
     def __init__(self, model: Model, seed: int) -> None:
         self.model, self.random, self.seen = model, np.random.default_rng(seed), 0
-        self.squares = [np.full_like(x, 1e-3) for x in model.arrays()]
         self.noise_log = np.log(NOISE * np.maximum(model.share, 1e-12)).astype(np.float32)
         self.cumulated = np.cumsum(model.share)
 
@@ -138,7 +155,7 @@ class Trainer:
         np.add.at(g_bias, noise, g_other.sum(axis=0))
         g_context = scattered(before, g_q * m.weights[0], len(m.context)) + scattered(last, g_q * m.weights[1], len(m.context))
         g_weights = np.stack([(g_q * a).sum(axis=0), (g_q * b).sum(axis=0)])
-        for x, square, g in zip(m.arrays(), self.squares, [g_context, g_target, g_weights, g_bias], strict=True):
+        for x, square, g in zip(m.arrays(), m.squares, [g_context, g_target, g_weights, g_bias], strict=True):
             square += g * g
             x -= RATE * g / np.sqrt(square)
         self.seen += n
@@ -154,63 +171,93 @@ def scattered(index: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def windows(ids: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(ids: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The two tokens before each token of one text, and the tokens."""
-    start = np.full(2, classes + 1, ids.dtype)
-    padded = np.concatenate([start, ids])
+    padded = np.concatenate([np.full(2, start, ids.dtype), ids])
     return padded[:-2], padded[1:-1], ids
 
 
-def train(docs: DataFrame, model: Model, numbers: dict[bytes, int]) -> None:
-    """One pass over all training documents in every round; changes ``model``."""
-    classes, context = len(model.share) - 1, docs.sparkSession.sparkContext
-    rows = rows_of(docs).filter(~F.col("held_out")).select("text")
+def encoded(docs: DataFrame, numbers: dict[bytes, int], shards: int) -> DataFrame:
+    """(shard, key, ids) of the training documents: classes of their tokens, two bytes each."""
+    sent, tail = docs.sparkSession.sparkContext.broadcast(numbers), TAIL
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        numbers, ends = sent.value, {}
+        head, get = len(numbers), numbers.get
+
+        def shared(token: bytes) -> int:
+            end = token[-2:]
+            if end not in ends:
+                ends[end] = head + tail_class(end, tail)
+            return ends[end]
+
+        for whole in batches:
+            for batch in sliced(whole, 500):
+                found = [np.array([k if (k := get(t)) is not None else shared(t) for t in tokens(text)], np.uint16).tobytes() for text in byte_texts(batch.column("text"))]
+                yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("key"), pa.array(found, pa.binary())], names=["shard", "key", "ids"])
+
+    rows = rows_of(docs).filter(~F.col("held_out")).select(row_key().alias("key"), "text")
+    rows = rows.select(F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard"), "key", "text")
+    return rows.mapInArrow(run, "shard int, key binary, ids binary")
+
+
+def train(rows: DataFrame, model: Model, shards: int) -> None:
+    """Goes over ``rows`` (of encoded(), written) once, a part of the shards in every round; changes ``model``."""
+    context = rows.sparkSession.sparkContext
     for round_ in range(ROUNDS):
-        sent = context.broadcast((model, numbers))
+        sent = context.broadcast(model)
 
         def learn(batches: Iterator, sent=sent, round_=round_) -> Iterator:
             import copy
 
             import pyarrow as pa
-            from pyspark import TaskContext
 
-            model, numbers = sent.value
-            trainer, held, size = Trainer(copy.deepcopy(model), 1000 * round_ + TaskContext.get().partitionId()), [], 0
-            get = numbers.get
+            start = sent.value
+            trainer, last, held, size = None, None, [], 0
+
+            def done() -> pa.RecordBatch:
+                if size:
+                    trainer.step(*[np.concatenate(x) for x in zip(*held, strict=True)])
+                sums = trainer.model.flat().astype(np.float64) * trainer.seen
+                return pa.RecordBatch.from_arrays([pa.array([last], pa.int32()), pa.array([trainer.seen], pa.int64()), pa.array([sums], pa.list_(pa.float64()))], names=["shard", "seen", "sums"])
+
             for whole in batches:
-                for text in byte_texts(whole.column("text")):
-                    held.append(windows(np.array([get(t, classes) for t in tokens(text)], np.int32), classes))
+                for shard, data in zip(whole.column("shard").to_pylist(), whole.column("ids").to_pylist(), strict=True):
+                    if shard != last:
+                        if trainer is not None:
+                            yield done()
+                        trainer, last, held, size = Trainer(copy.deepcopy(start), shard), shard, [], 0
+                    held.append(windows(np.frombuffer(data, np.uint16).astype(np.int32), len(start.share)))
                     size += len(held[-1][2])
-                    while size >= BATCH:
+                    if size >= BATCH:
                         joined = [np.concatenate(x) for x in zip(*held, strict=True)]
                         for at in range(0, size - BATCH + 1, BATCH):
                             trainer.step(*[x[at : at + BATCH] for x in joined])
                         at = size - size % BATCH
                         held, size = [tuple(x[at:] for x in joined)], size % BATCH
-            if size:
-                trainer.step(*[np.concatenate(x) for x in zip(*held, strict=True)])
-            if trainer.seen:
-                yield pa.RecordBatch.from_arrays([pa.array([trainer.seen], pa.int64()), pa.array([trainer.model.flat().astype(np.float64) * trainer.seen], pa.list_(pa.float64()))], names=["seen", "sums"])
+            if trainer is not None:
+                yield done()
 
         def mix(batches: Iterator) -> Iterator:
             import pyarrow as pa
 
-            seen, sums = 0, None
+            first, seen, sums = None, 0, None
             for batch in batches:
-                for n, x in zip(batch.column("seen").to_pylist(), batch.column("sums"), strict=True):
-                    seen, sums = seen + n, x.values.to_numpy() + (0 if sums is None else sums)
+                for shard, n, x in zip(batch.column("shard").to_pylist(), batch.column("seen").to_pylist(), batch.column("sums"), strict=True):
+                    first, seen, sums = shard if first is None else first, seen + n, x.values.to_numpy() + (0 if sums is None else sums)
             if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([sums], pa.list_(pa.float64()))], names=["seen", "sums"])
+                yield pa.RecordBatch.from_arrays([pa.array([first], pa.int32()), pa.array([seen], pa.int64()), pa.array([sums], pa.list_(pa.float64()))], names=["shard", "seen", "sums"])
 
-        kind = "seen long, sums array<double>"
-        got = rows.mapInArrow(learn, kind).repartition(MIXERS).mapInArrow(mix, kind).toArrow()
-        if not got.num_rows:
-            return
-        # In the order of the sums, as that of the answers may differ between runs.
-        order = np.argsort([x.values[0].as_py() for x in got.column("sums").combine_chunks()], kind="stable") if got.num_rows > 1 else [0]
-        sums = got.column("sums").combine_chunks()
-        total = sum(sums[int(k)].values.to_numpy() for k in order)
-        model.load(total / sum(got.column("seen").to_pylist()))
+        kind = "shard int, seen long, sums array<double>"
+        dealt = rows.filter(F.col("shard") % ROUNDS == round_).repartition(max(1, shards // ROUNDS), "shard").sortWithinPartitions("shard", "key")
+        # MIXERS sums at most come to the driver, added up in the order of the shards.
+        got = dealt.mapInArrow(learn, kind).repartition(MIXERS, "shard").sortWithinPartitions("shard").mapInArrow(mix, kind).toArrow()
+        if got.num_rows:
+            parts = sorted(zip(got.column("shard").to_pylist(), got.column("seen").to_pylist(), [x.values.to_numpy() for x in got.column("sums").combine_chunks()], strict=True), key=lambda x: x[0])
+            model.load(sum(x for _, _, x in parts) / sum(n for _, n, _ in parts))
+        sent.destroy()
 
 
 class Scorer:
@@ -223,7 +270,7 @@ class Scorer:
     def log_probabilities(self, ids: np.ndarray) -> np.ndarray:
         """Natural logs for each token of one text."""
         m = self.model
-        before, last, token = windows(ids, len(m.share) - 1)
+        before, last, token = windows(ids, len(m.share))
         code = before.astype(np.int64) * self.width + last
         missing = np.unique(code[np.isnan(self.norm[code])])
         for at in range(0, len(missing), 512):
@@ -253,21 +300,48 @@ def frequent(counted: DataFrame) -> tuple[list[bytes], np.ndarray]:
     return [t for t, _ in rows], np.array([c for _, c in rows], np.int64)
 
 
-def score(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of ``docs``."""
-    context = docs.sparkSession.sparkContext
+@dataclass
+class Learned:
+    """What scoring needs: the model, counts of training tokens, and of each shared class log10 of its add-one mass."""
+
+    model: Model
+    counted: DataFrame
+    tokens: int
+    distinct: int
+    head: list[tuple[bytes, int]]
+    classes: int
+    log_rest: np.ndarray
+
+
+def learned(docs: DataFrame) -> Learned:
     counted = written(counts(docs))
     total = counted.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = int(total["n"]), int(total["v"])
     head_tokens, head_counts = frequent(counted)
     classes = min(CLASSES, len(head_tokens))
-    numbers = {t: k for k, t in enumerate(head_tokens[:classes])}
-    rest_mass = n - int(head_counts[:classes].sum())
-    model = Model(classes, np.append(head_counts[:classes], max(1, rest_mass)).astype(float))
-    train(docs, model, numbers)
-    # Of the shared class: add-one counts of its tokens, and one for all unseen tokens.
-    log_rest = math.log10(rest_mass + (v - classes) + 1)
-    sent = context.broadcast((model, {t: (k, math.log10(c + 1)) for k, (t, c) in enumerate(zip(head_tokens, head_counts.tolist(), strict=True))}))
+    # Tokens, occurrences of each shared class: TAIL rows, less what the classes of their own make up.
+    sums = counted.groupBy(tail_class_of("token").cast("int").alias("k")).agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()
+    mass, kinds = np.zeros(TAIL), np.zeros(TAIL)
+    for row in sums:
+        mass[row["k"]], kinds[row["k"]] = row["c"], row["v"]
+    for token, c in zip(head_tokens[:classes], head_counts[:classes].tolist(), strict=True):
+        mass[tail_class(token, TAIL)] -= c
+        kinds[tail_class(token, TAIL)] -= 1
+    model = Model(np.concatenate([head_counts[:classes].astype(float), np.maximum(mass, 0.5)]))
+    shards = ROUNDS * max(1, math.ceil(n / (ROUNDS * SHARD_TOKENS)))
+    rows = written(encoded(docs, {t: k for k, t in enumerate(head_tokens[:classes])}, shards))
+    train(rows, model, shards)
+    dropped(rows)
+    return Learned(model, counted, n, v, list(zip(head_tokens, head_counts.tolist(), strict=True)), classes, np.log10(mass + kinds + 1))
+
+
+def score(docs: DataFrame, found: Learned | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of ``docs``."""
+    context = docs.sparkSession.sparkContext
+    found = found or learned(docs)
+    n, v, counted, classes, log_rest = found.tokens, found.distinct, found.counted, found.classes, found.log_rest
+    known = {t: (k if k < classes else classes + tail_class(t, TAIL), math.log10(c + 1)) for k, (t, c) in enumerate(found.head)}
+    sent, n_tail = context.broadcast((found.model, known)), TAIL
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -276,7 +350,14 @@ def score(docs: DataFrame) -> DataFrame:
 
         model, known = sent.value
         scorer, uid = Scorer(model), TaskContext.get().partitionId() << 40
-        digest, get = xxhash.xxh64_intdigest, known.get
+        digest, get, ends = xxhash.xxh64_intdigest, known.get, {}
+
+        def shared_class(token: bytes) -> int:
+            end = token[-2:]
+            if end not in ends:
+                ends[end] = classes + tail_class(end, n_tail)
+            return ends[end]
+
         for whole in batches:
             for batch in sliced(whole, 500):
                 rows = []
@@ -284,10 +365,10 @@ def score(docs: DataFrame) -> DataFrame:
                     found = tokens(text)
                     at = [get(t) for t in found]
                     tail = [digest(t, seed=42) for t, x in zip(found, at, strict=True) if x is None]
-                    ids = np.array([classes if x is None else min(x[0], classes) for x in at], np.int32)
+                    ids = np.array([shared_class(t) if x is None else x[0] for t, x in zip(found, at, strict=True)], np.int32)
                     logs = math.fsum(x[1] for x in at if x is not None)
                     shared = math.fsum(x[1] for x in at if x is not None and x[0] >= classes)
-                    lbl = float(scorer.log_probabilities(ids).sum()) / math.log(10) - log_rest * int((ids == classes).sum()) + shared
+                    lbl = float(scorer.log_probabilities(ids).sum()) / math.log(10) - float(log_rest[ids[ids >= classes] - classes].sum()) + shared
                     uid += 1
                     rows.append((uid, len(found), len(found) - len(tail), logs, lbl, np.array(tail, np.uint64).view(np.int64)))
                 columns = list(zip(*rows, strict=True)) or [()] * 6
@@ -300,11 +381,11 @@ def score(docs: DataFrame) -> DataFrame:
     partial = written(rows_of(docs).select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, uid long, n_tokens long, n_head long, logs double, lbl double, tail array<long>"))
     rare = partial.select("uid", F.explode("tail").alias("tail_hash")).groupBy("uid", "tail_hash").agg(F.count("*").alias("times"))
     matched = rare.join(counted.select("hash", "c"), F.col("tail_hash") == F.col("hash"))
-    # Sums of integers and of scaled logs don't depend on the order in which rows meet.
+    # Sums of decimals don't depend on the order in which rows meet.
     sums = matched.groupBy("uid").agg(
-        F.sum("times").alias("n_tail"), F.sum(F.col("times") * F.round(F.log10(F.col("c") + 1) * 1e12).cast("long")).alias("tail_logs")
+        F.sum("times").alias("n_tail"), F.sum(F.col("times").cast("decimal(18,0)") * F.log10(F.col("c") + 1).cast("decimal(18,15)")).cast("double").alias("tail_logs")
     ).withColumnRenamed("uid", "tail_uid")
-    tail_logs = F.coalesce(F.col("tail_logs"), F.lit(0)) / 1e12
+    tail_logs = F.coalesce(F.col("tail_logs"), F.lit(0.0))
     return partial.join(sums, partial.uid == sums.tail_uid, "left").select(
         "doc_id", "held_out", "n_tokens",
         (F.col("n_head") + F.coalesce("n_tail", F.lit(0))).alias("n_known"),
