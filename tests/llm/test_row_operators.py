@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import math
 import random
 import re
 
@@ -11,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -207,19 +209,45 @@ def test_toxicity(spark, docs, empty):
         if k < 400:
             marks += [(k, int(bad))] * (1 + k % 2)
     labels = spark.createDataFrame(marks + [(None, 1), (5, None), (9999, 1)], "doc_id long, toxic int")
-    rows, toxic = toxicity.sample(frame(spark, data), labels)
-    assert len(rows) == 400
-    model = toxicity.fit(rows, toxicity.graded(rows, toxic))
+    rows, toxic, shares = toxicity.sample(frame(spark, data), labels)
+    assert len(rows) == 400 and toxic.sum() == 100
+    model = toxicity.fit(rows, toxicity.graded(toxic, shares))
     assert (np.diff(model.thresholds) > 0).all() and len(model.thresholds) == 2
     got = {x.doc_id: x for x in toxicity.score(frame(spark, data), model).collect()}
     held = [(got[k].toxic, k % 4 == 0) for k in range(400, 600)]
     assert sum(a == b for a, b in held) >= 196
+    # Severity by hand from the model: each word's bucket once, sigmoid of weights less threshold, summed over thresholds.
+    weights = dict(zip(model.buckets.tolist(), model.weights.tolist(), strict=True))
+    for k, text in data[::37]:
+        words = set(re.findall("[a-z0-9']+", text.lower()))
+        score = sum(weights.get(b, 0.0) for b in {xxhash.xxh3_64_intdigest(w.encode()) % toxicity.BUCKETS for w in words})
+        assert abs(sum(1 / (1 + math.exp(x - score)) for x in model.thresholds.tolist()) - got[k].expected_severity) < 1e-4
+    # What is fitted is the least penalised negative log-likelihood: no small step from it does better.
+    grades = toxicity.graded(toxic, shares)
+
+    def loss(weights, thresholds):
+        at = {b: w for b, w in zip(model.buckets.tolist(), weights, strict=True)}
+        out, seen = 0.0, {}
+        for row, grade in zip(rows, grades.tolist(), strict=True):
+            seen[row.tobytes(), grade] = row
+        for (_, grade), row in seen.items():
+            score = sum(at.get(b, 0.0) for b in row.tolist())
+            above = [1.0, *[1 / (1 + math.exp(x - score)) for x in thresholds], 0.0]
+            out -= math.log(max(above[grade] - above[grade + 1], 1e-12))
+        return out / len(seen) + toxicity.RIDGE / 2 * float(weights @ weights)
+
+    best, r2 = loss(model.weights, model.thresholds), np.random.default_rng(0)
+    for _ in range(6):
+        step = r2.normal(0, 0.05, len(model.weights))
+        assert loss(model.weights + step, model.thresholds) > best - 1e-3
+        assert loss(model.weights, model.thresholds + r2.normal(0, 0.2, 2).cumsum() * 0.5) > best - 1e-3
     assert all(0 <= x.expected_severity <= 2 and x.grade in (0, 1, 2) for x in got.values())
     scored = toxicity.score(docs, model)
     assert scored.count() == docs.count() and scored.filter("expected_severity is null").count() == 0
     assert toxicity.score(empty, model).count() == 0
     flat = toxicity.fit([], np.zeros(0, np.int64))
-    assert toxicity.sample(empty, labels)[0] == [] and {x.expected_severity < 1e-9 for x in toxicity.score(docs, flat).collect()} == {True}
+    none = toxicity.sample(empty, labels)
+    assert none[0] == [] and len(toxicity.graded(*none[1:])) == 0 and {x.expected_severity < 1e-9 for x in toxicity.score(docs, flat).collect()} == {True}
 
 
 def test_licences(spark, docs, empty):
@@ -285,3 +313,29 @@ def test_url_filter(spark, tmp_path):
             assert best is None or row.verdict == ("block" if best.block else "allow")
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/none/pages.parquet")
     assert url_filter.op1_url_filter(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_url_verdicts_by_templates(spark):
+    """Labels reach urls without a rule through their template, merged branches, the host and the domain; without labels in
+    the domain nothing is rejected."""
+    rules = (url_filter.Rule("shop.com", "/ads/x", True), url_filter.Rule("news.com", "/", False), url_filter.Rule("bad.com", "/a/", True), url_filter.Rule("bad.com", "/b/", True), url_filter.Rule("mixed.com", "/good/", False), url_filter.Rule("mixed.com", "/ill/", True))
+    urls = [f"http://shop.com/ads/x{k}" for k in range(40)] + [f"http://shop.com/ads/other{k}" for k in range(5)]
+    urls += [f"http://news.com/{k}" for k in range(60)] + [f"http://bad.com/{s}/{k}" for s in "ab" for k in range(20)] + [f"http://bad.com/c/{k}" for k in range(5)]
+    urls += [f"http://mixed.com/{s}/{k}" for s in ("good", "ill") for k in range(40)] + [f"http://mixed.com/good{k}" for k in range(4)]
+    urls += [f"http://new.com/{k}" for k in range(3)] + [f"http://else.net/ads/{k}" for k in range(9)] + [None]
+    got = {r.path if r.host != "else.net" else r.host: r for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).collect()}
+    verdict = {u: r.verdict for u, r in got.items()}
+    assert got["/ads/x1"].template.startswith("/ads/*") and got["/ads/other1"].rule is None
+    assert verdict["/ads/other1"] == "block"  # its template is labelled
+    assert verdict["/c/1"] == "block" and got["/c/1"].template.startswith("/c/*")  # no label of its own, but all around it
+    assert verdict["/good/1"] == "allow" and verdict["/ill/1"] == "block"
+    assert verdict["else.net"] == "allow" and verdict[""] == "allow" and got["/7"].verdict == "allow"
+
+
+def test_url_branches_do_not_depend_on_size(spark):
+    """A section with enough urls stays a branch however many others there are."""
+    for others in (3, 40):
+        urls = [f"http://h.com/ads/{k}" for k in range(60)] + [f"http://h.com/s{j}/{k}.html" for j in range(others) for k in range(5)] + ["http://h.com/rare/1/2/3/4/5/6", "http://h.com/0123abcd9/x"]
+        rows = url_filter.generalised(spark.createDataFrame([("h.com", u[12:]) for u in urls], "host string, path string"))
+        got = {r.path: r.template for r in rows.collect()}
+        assert got["/ads/3"] == "/ads/*///" and got["/s1/4.html"] == "/s1/*///" and got["/rare/1/2/3/4/5/6"] == "/*/*/*/*/**" and got["/0123abcd9/x"] == "/*/*///"

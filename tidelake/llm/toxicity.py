@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelake.llm.common import byte_texts, sliced, table
+from tidelake.llm.common import byte_texts, dropped, sliced, table, written
 
 MAX_LABELLED = 30_000
 BUCKETS = 1 << 18
@@ -126,49 +126,74 @@ def fit(rows: list[np.ndarray], grades: np.ndarray) -> Model:
     return Model(buckets, x[:d], np.concatenate([x[d : d + 1], x[d] + np.cumsum(np.exp(x[d + 1 :]))]))
 
 
-def graded(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
+def graded(toxic: np.ndarray, shares: np.ndarray) -> np.ndarray:
     """Grades 0, 1, 2 from 0/1 labels by the share of indicative words."""
     if not toxic.any() or toxic.all():
         return toxic.astype(np.int64)
-    flat = np.concatenate(rows)
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    positive = np.bincount(flat, toxic[owner].astype(float), BUCKETS)
-    negative = np.bincount(flat, 1.0 - toxic[owner], BUCKETS)
-    odds = ((positive + 0.5) / (toxic.sum() + 1)) / ((negative + 0.5) / ((1 - toxic).sum() + 1))
-    indicative = (odds > 8) & (positive >= MIN_DOCUMENTS)
-    share = np.array([indicative[r].sum() / max(1, len(r)) for r in rows])
-    return np.where(toxic > 0, 1 + (share >= np.median(share[toxic > 0])), 0).astype(np.int64)
-
-
-def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
-    """Feature sets and labels of a sample of about MAX_LABELLED labelled documents at most."""
+    return np.where(toxic > 0, 1 + (shares >= np.median(shares[toxic > 0])), 0).astype(np.int64)
+
+
+def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Feature sets, labels and shares of indicative words of a sample of about MAX_LABELLED labelled documents at most.
+
+    Features are counted on the executors; the driver gets a row for each bucket (BUCKETS at most), then of each document of
+    the sample only the MAX_FEATURES buckets that tell most, two bytes each.
+    """
     marks = labels.select(F.col("doc_id").cast("long").alias("mark_id"), F.col("toxic").cast("int").alias("mark")).dropna().groupBy("mark_id").agg(F.max("mark").alias("mark"))
     count = marks.count()
     marks = marks.filter(F.pmod(F.xxhash64("mark_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, MAX_LABELLED / max(1, count))))
     rows = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text")
     # The marks are MAX_LABELLED rows of two numbers, give or take a few percent: small enough for any executor.
-    found = rows.join(F.broadcast(marks), rows.doc_id == marks.mark_id).select("mark", "text")
+    found = written(rows.join(F.broadcast(marks), rows.doc_id == marks.mark_id).select(F.when(F.col("mark") > 0, 1).otherwise(0).alias("mark"), "text"))
 
-    def run(batches: Iterator) -> Iterator:
+    def count_features(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         features = Features()
+        for whole in batches:
+            for batch in sliced(whole, 500):
+                total, positive = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+                for text, mark in zip(byte_texts(batch.column("text")), batch.column("mark").to_pylist(), strict=True):
+                    held = features.of(text)
+                    total[held] += 1
+                    positive[held] += mark
+                used = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used]), pa.array(positive[used])], names=["bucket", "total", "positive"])
+
+    counted = found.mapInArrow(count_features, "bucket int, total long, positive long").groupBy("bucket").agg(F.sum("total").alias("total"), F.sum("positive").alias("positive"))
+    got = counted.filter(F.col("total") >= MIN_DOCUMENTS).toArrow()
+    order = np.argsort(got.column("bucket").to_numpy())
+    bucket, total, positive = (got.column(c).to_numpy()[order] for c in ("bucket", "total", "positive"))
+    sizes = found.agg(F.count("*").alias("n"), F.coalesce(F.sum("mark"), F.lit(0)).alias("toxic")).first()
+    n, n_toxic = int(sizes["n"]), int(sizes["toxic"])
+    # Indicative words are much more frequent in toxic documents than in others.
+    odds = ((positive + 0.5) / (n_toxic + 1)) / ((total - positive + 0.5) / (n - n_toxic + 1))
+    indicative = bucket[(odds > 8) & (positive >= MIN_DOCUMENTS)]
+    share = n_toxic / max(1, n)
+    signal = (positive - share * total) ** 2 / np.maximum(share * (1 - share) * total, 1e-9)
+    chosen = np.sort(bucket[np.argsort(-signal, kind="stable")[:MAX_FEATURES]])
+    sent = docs.sparkSession.sparkContext.broadcast((chosen, indicative))
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        (chosen, indicative), features = sent.value, Features()
+        place, tells = np.full(BUCKETS, -1, np.int32), np.zeros(BUCKETS, bool)
+        place[chosen], tells[indicative] = np.arange(len(chosen)), True
         for whole in batches:
             for batch in sliced(whole, 500):
                 sets = [features.of(x) for x in byte_texts(batch.column("text"))]
-                yield pa.RecordBatch.from_arrays([batch.column("mark").cast(pa.int32()), pa.array(sets, pa.list_(pa.int32()))], names=["mark", "buckets"])
-
-    got = found.mapInArrow(run, "mark int, buckets array<int>").toArrow()
-    marks_of = got.column("mark").to_numpy().astype(np.int64)
-    order = np.arange(got.num_rows)
-    sets = got.column("buckets").combine_chunks() if got.num_rows else None
-    if sets is None:
-        return [], marks_of
-    offsets, values = sets.offsets.to_numpy(), sets.values.to_numpy()
-    rows_of = [values[offsets[k] : offsets[k + 1]] for k in order]
+                kept = [place[s] for s in sets]
+                kept = [k[k >= 0].astype(np.uint16).tobytes() for k in kept]
+                shares = [float(tells[s].sum() / max(1, len(s))) for s in sets]
+                yield pa.RecordBatch.from_arrays([batch.column("mark").cast(pa.int32()), pa.array(kept, pa.binary()), pa.array(shares, pa.float64())], names=["mark", "features", "share"])
+
+    got = found.mapInArrow(run, "mark int, features binary, share double").toArrow()
+    dropped(found)
     # An order of its own, as that of the executors' answers may differ between runs.
-    order = sorted(order, key=lambda k: (int(marks_of[k]), len(rows_of[k]), rows_of[k].tobytes()))
-    return [rows_of[k] for k in order], marks_of[order]
+    rows_of = sorted(zip(got.column("mark").to_pylist(), got.column("features").to_pylist(), got.column("share").to_pylist(), strict=True))
+    sets = [chosen[np.frombuffer(x, np.uint16)].astype(np.int32) for _, x, _ in rows_of]
+    return sets, np.array([m for m, _, _ in rows_of], np.int64), np.array([s for _, _, s in rows_of], float)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -196,5 +221,5 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    rows, toxic = sample(docs, table(spark, sf_dir, "labels"))
-    return score(docs, fit(rows, graded(rows, toxic)) if rows else fit([], np.zeros(0, np.int64)))
+    rows, toxic, shares = sample(docs, table(spark, sf_dir, "labels"))
+    return score(docs, fit(rows, graded(toxic, shares)))
