@@ -267,23 +267,79 @@ def test_licences(spark, docs, empty):
     assert license_scan.scan(license_scan.as_files(empty)).count() == 0
 
 
-def test_licence_cosine(spark):
-    """The cosine of any line, by hand; lines that the pattern leaves out can't reach the threshold."""
-    weights, r = license_scan.Weights(license_scan.TEMPLATES, 0.3), random.Random(4)
-    terms = sorted(weights.idf) + ["other", "word"]
-    lines = [" ".join(r.choice(terms) for _ in range(r.randint(1, 12))) for _ in range(200)]
-
-    def cosine(line, vector):
-        words = re.findall("[a-z0-9]+", line.lower())
-        x = {t: words.count(t) * weights.idf.get(t, weights.unknown) for t in set(words)}
-        return sum(x.get(t, 0) * w for t, w in vector.items()) / sum(v * v for v in x.values()) ** 0.5
-
-    files = spark.createDataFrame([(i, "f", t) for i, t in enumerate(lines)], "file_id long, path string, text string")
-    got = {r.file_id: (r.licence, r.cosine) for r in license_scan.scan(files, least=0.3).collect()}
-    for i, line in enumerate(lines):
-        best = max((round(cosine(line, v), 6), k) for k, v in weights.vectors.items())[0]
-        assert (got[i][1] is None) == (best < 0.3)
-        assert got[i][1] is None or abs(got[i][1] - best) < 2e-6
+def brute_scan(rows, templates, least):
+    """Licence, cosine and origin of each file by comparing all windows and whole licence files with all templates."""
+    weights = license_scan.Weights(templates, least)
+
+    def top(text, is_licence):
+        lines = [x for x in text.split("\n") if re.search("[A-Za-z0-9]", x)]
+        units = [(" ".join(lines[i : i + n]), False) for n in (1, 2, 3) for i in range(len(lines))] + [(text, True)] * is_licence
+        found = []
+        for unit, file in units:
+            words = re.findall("[a-z0-9]+", unit.lower())
+            x = {t: words.count(t) * weights.idf.get(t, weights.unknown) for t in set(words)}
+            norm = math.sqrt(sum(v * v for v in x.values()))
+            found += [(-round(sum(x.get(t, 0) * w for t, w in v.items()) / norm, 6), name) for (name, v), whole in zip(weights.vectors, weights.whole, strict=True) if norm and (file or not whole)]
+        best = min(found, default=(0, None))
+        return best if -best[0] >= least else None
+
+    licence = lambda p: bool(re.search(license_scan.LICENCE_NAME, p.rsplit("/", 1)[-1]))
+    directory = lambda p: p.rpartition("/")[0].rstrip("/")
+    own = [top(t or "", licence(p or "")) for _, p, t in rows]
+    held = {}
+    for (_, p, _), x in zip(rows, own, strict=True):
+        if x and licence(p or ""):
+            held[directory(p)] = min(held.get(directory(p), x), x)
+    out = []
+    for (i, p, _), x in zip(rows, own, strict=True):
+        steps, origin = directory(p or "").split("/"), "header"
+        if x is None:
+            x = next((held[d] for k in range(len(steps), 0, -1) if (d := "/".join(steps[:k])) in held), None)
+            origin = "inherited"
+        out.append((i, *((x[1], round(-x[0], 4), origin) if x else (None, None, None))))
+    return out
+
+
+def test_licences_by_brute_force(spark, docs, tmp_path):
+    """The query itself, and files with pieces of templates, against comparing everything with everything."""
+    r = random.Random(4)
+    pool = [w for own in license_scan.TEMPLATES.values() for x in own for w in x.split()] + "some other words of any prose and code".split()
+    pieces = [x for own in license_scan.TEMPLATES.values() for x in own] + [f"// SPDX-License-Identifier: {k}" for k in license_scan.TEMPLATES]
+    rows = []
+    for k in range(120):
+        lines = [" ".join(r.choice(pool) for _ in range(r.randrange(1, 9))) for _ in range(r.randrange(4))]
+        if k % 2:
+            words = r.choice(pieces).split()
+            for _ in range(r.randrange(3)):
+                words[r.randrange(len(words))] = "changed"
+            cut = r.randrange(len(words) + 1)
+            lines.insert(r.randrange(len(lines) + 1), " ".join(words[:cut]) + r.choice(["\n", " ", "\n\n * "]) + " ".join(words[cut:]))
+        rows.append((k, f"{r.choice('ab')}/{r.choice('xy')}/{r.choice(['LICENSE', 'f.py', 'COPYING', 'g.c'])}", "\n".join(lines)))
+    files = spark.createDataFrame(rows, "file_id long, path string, text string")
+    got = pairs((x.file_id, x.licence, x.cosine and round(x.cosine, 4), x.origin) for x in license_scan.scan(files).collect())
+    want = pairs(brute_scan(rows, license_scan.TEMPLATES, license_scan.LEAST))
+    assert sum((want - got).values()) <= 2 and sum("header" in x for x in want) > 20  # cosines may round apart
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    tree = [tuple(x) for x in license_scan.as_files(docs).collect()]
+    got = pairs((x.doc_id, x.licence, x.origin) for x in license_scan.op9_license_scan(spark, str(tmp_path)).collect())
+    assert got == pairs((i, a, o) for i, a, _, o in brute_scan(tree, license_scan.TEMPLATES, license_scan.LEAST))
+
+
+def test_real_licences(spark):
+    """Titles, identifier lines and texts as they stand in files."""
+    mit = "Copyright (c) 2020 Some One\n\n" + license_scan.TEMPLATES["MIT"][-1]
+    gnu = lambda title, v: f"                    {title}\n                       {v}\n\n Copyright (C) 2007 Free Software Foundation\n Everyone is permitted to copy\n"
+    cases = [
+        ("MIT", mit), ("MIT", "MIT License\n\n" + mit), ("MIT", "The MIT License (MIT)"), ("MIT", "// SPDX-License-Identifier: MIT\nint x;"), ("Apache-2.0", "# SPDX-License-Identifier: Apache-2.0"),
+        ("GPL-1.0", gnu("GNU GENERAL PUBLIC LICENSE", "Version 1, February 1989")), ("GPL-2.0", gnu("GNU GENERAL PUBLIC LICENSE", "Version 2, June 1991")), ("GPL-3.0", gnu("GNU GENERAL PUBLIC LICENSE", "Version 3, 29 June 2007")),
+        ("LGPL-2.0", gnu("GNU LIBRARY GENERAL PUBLIC LICENSE", "Version 2, June 1991")), ("LGPL-2.1", gnu("GNU LESSER GENERAL PUBLIC LICENSE", "Version 2.1, February 1999")), ("LGPL-3.0", gnu("GNU LESSER GENERAL PUBLIC LICENSE", "Version 3, 29 June 2007")),
+        ("AGPL-3.0", gnu("GNU AFFERO GENERAL PUBLIC LICENSE", "Version 3, 19 November 2007")), ("GFDL-1.3", gnu("GNU Free Documentation License", "Version 1.3, 3 November 2008")), ("CC0-1.0", "Creative Commons Legal Code\n\nCC0 1.0 Universal\n\n  text"),
+        ("Apache-2.0", "                                 Apache License\n                           Version 2.0, January 2004\n   TERMS"), ("MPL-2.0", "Mozilla Public License Version 2.0\n======"), ("ISC", license_scan.TEMPLATES["ISC"][-1]),
+        ("BSD-2-Clause", "Copyright 2020\n" + license_scan.TEMPLATES["BSD-2-Clause"][-1]), (None, "Just a file about the license of a driver, version 2.\nAll rights reserved."), (None, "SPDX-License-Identifier: Other-9.9"),
+    ]
+    files = spark.createDataFrame([(k, f"d{k}/LICENSE", t) for k, (_, t) in enumerate(cases)], "file_id long, path string, text string")
+    got = {x.file_id: x.licence for x in license_scan.scan(files).collect()}
+    assert [got[k] for k in range(len(cases))] == [name for name, _ in cases]
 
 
 def test_url_filter(spark, tmp_path):

@@ -59,12 +59,17 @@ def if_small(df: DataFrame, rows: int = SMALL_SIDE) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def row_key(id_: str = "doc_id", text: str = "text") -> Column:
-    """128 bits that stand for a row's id (a long) and text; rows with equal ones are alike."""
-    halves = [F.lpad(F.hex(F.xxhash64(*start, F.col(id_).cast("long"), F.col(text).cast("string"))), 16, "0") for start in ((), (F.lit(1),))]
+def key_of(*columns: Column) -> Column:
+    """128 bits that stand for some values; rows with equal ones are alike."""
+    halves = [F.lpad(F.hex(F.xxhash64(*start, *columns)), 16, "0") for start in ((), (F.lit(1),))]
     return F.unhex(F.concat(*halves))
 
 
+def row_key(id_: str = "doc_id", text: str = "text") -> Column:
+    """The key of a row's id (a long) and text."""
+    return key_of(F.col(id_).cast("long"), F.col(text).cast("string"))
+
+
 def byte_texts(column) -> list[bytes | None]:
     """An Arrow string column as UTF-8 bytes."""
     import pyarrow as pa
