@@ -52,6 +52,28 @@ def test_table(spark, tmp_path):
     assert versions == {"main": 0, "other": 0} and not notes
 
 
+def test_lists_of_live_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("tidelake.sources.table.LIST_EVERY", 2)
+    t = Table(spark, f"{tmp_path}/t")
+    odd = "a b/c:d%e"
+    df = spark.createDataFrame([(k, odd if k % 2 else None) for k in range(6)], "k int, p string")
+    t.create(df, ["p"])
+    t.replace(df.filter("k = 1"), {p for p in t.detail()["partitions"] if "HIVE" not in p[0]})
+    t.append(df.filter("k = 0"))
+    t.overwrite(df, ["p"])
+    t.append(df.filter("k = 2"))
+    assert [n for n in t.files.names("_log") if n.endswith(".live")] == [f"{v:020d}.live" for v in (2, 4)]
+    sizes = []
+    for v in t.versions():
+        live = {}
+        for c in t.commits()[: v + 1]:
+            live = {p: a for p, a in live.items() if p not in c.remove} | {a["path"]: a for a in c.add}
+        assert Table(spark, t.root)._live(v)[1] == live
+        sizes.append((t.read(v).count(), t.detail(v)["rows"]))
+    assert sizes == [(6, 6), (4, 4), (5, 5), (6, 6), (7, 7)]
+    assert {r.p for r in t.read().collect()} == {odd, None} and t.read().columns == ["k", "p"]
+
+
 def test_commits_exclude_each_other(spark, tmp_path, monkeypatch):
     t = Table(spark, f"{tmp_path}/t")
     t.create(spark.range(5))
