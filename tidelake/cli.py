@@ -8,7 +8,7 @@ from datetime import datetime
 
 from tidelake import session
 from tidelake.functions.expressions import month_predicate
-from tidelake.plans import ledger, ml, products, refresh, rules
+from tidelake.plans import evaluation, ledger, ml, products, refresh, rules
 from tidelake.plans.pipeline import Workspace, load_updates
 from tidelake.sources.readers import read
 from tidelake.sources.table import pinned
@@ -21,6 +21,14 @@ def parser() -> argparse.ArgumentParser:
     c = sub.add_parser("update", help="load a release; NAME=KIND:PATH for each dataset")
     c.add_argument("sources", nargs="+")
     c.add_argument("--no-refresh", action="store_true")
+    c = sub.add_parser("evaluate", help="load a release under several settings, then for good; refresh and measure")
+    c.add_argument("sources", nargs="+")
+    c.add_argument("--reps", type=int, default=3, help="trials for each setting")
+    c.add_argument("--skip-trials", action="store_true")
+    c.add_argument("--results", default="evaluation.json")
+    c = sub.add_parser("tune", help="caching, pruning, broadcasting and adaptive execution, each with and without")
+    c.add_argument("--month", required=True, help="YYYY-MM of the pruning pair")
+    c.add_argument("--plans", action="store_true", help="print the plans, too")
     c = sub.add_parser("products")
     c.add_argument("--product", action="append")
     c.add_argument("--month", action="append", help="YYYY-MM")
@@ -45,21 +53,36 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def release(ws: Workspace, sources: list[str]) -> dict:
+    from tidelake.plans.contracts import contract
+
+    raw = {}
+    for item in sources:
+        name, _, rest = item.partition("=")
+        kind, _, path = rest.partition(":")
+        raw[name] = read(ws.spark, path, kind, contract(name).declared)
+    return raw
+
+
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     ws = Workspace(session.session(), args.root)
     chosen = [products.PRODUCTS[n] for n in (getattr(args, "product", None) or products.PRODUCTS)]
     if args.command == "update":
-        from tidelake.plans.contracts import contract
-
-        raw = {}
-        for item in args.sources:
-            name, _, rest = item.partition("=")
-            kind, _, path = rest.partition(":")
-            raw[name] = read(ws.spark, path, kind, contract(name).declared)
-        print(json.dumps(load_updates(ws, raw), default=str, indent=2))
+        print(json.dumps(load_updates(ws, release(ws, args.sources)), default=str, indent=2))
         if not args.no_refresh:
             print(*refresh.refresh_affected(ws), sep="\n")
+    elif args.command == "evaluate":
+        found = evaluation.evaluate(ws, release(ws, args.sources), args.reps, not args.skip_trials)
+        ml.manifest(args.results, **found)
+        print(json.dumps(found, default=str, indent=2))
+    elif args.command == "tune":
+        year, month = map(int, args.month.split("-"))
+        for name, runs in evaluation.tuning(ws.table("trip_data").read(), ws.table("taxi_zones").read(), year, month).items():
+            for r in runs:
+                print(name, r.setting, r.seconds, sep="\t")
+                if args.plans:
+                    print(r.plan)
     elif args.command == "products":
         window = products.window_of(ws.table("integrated_taxi_trips").detail())
         months = {tuple(map(int, m.split("-"))) for m in args.month} if args.month else None

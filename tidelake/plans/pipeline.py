@@ -187,7 +187,8 @@ def reenrich(ws: Workspace, months: set[tuple[int, int]]) -> int:
 
 
 def load_updates(ws: Workspace, raw: dict[str, DataFrame]) -> dict[str, dict]:
-    """A release: dimensions, trips, new integrated rows, then months that got observations late."""
+    """A release: dimensions, trips, new integrated rows, then months that got observations late; facts with the seconds that
+    each dataset took."""
     done: dict[str, dict] = {}
     integrated = ws.table("integrated_taxi_trips")
     before = set(integrated.detail()["partitions"]) if integrated.exists() else set()
@@ -202,15 +203,20 @@ def load_updates(ws: Workspace, raw: dict[str, DataFrame]) -> dict[str, dict]:
         if name not in raw:
             continue
         references = {"taxi_zones": ws.table("taxi_zones").read()} if name == "trip_data" and ws.table("taxi_zones").exists() else {}
+        began = time.perf_counter()
         clean, done[name] = load(ws, name, raw[name], key, process=process, scope=scope, partition_by=by, references=references)
+        done[name]["wall_seconds"] = round(time.perf_counter() - began, 2)
         if name in ("weather", "air_quality") and done[name]["status"] == "succeeded":
             ts = F.col("timestamp" if name == "weather" else "timestamp_local")
             observed |= {(r[0], r[1]) for r in clean.select(F.year(ts), F.month(ts)).distinct().collect()}
         if name == "trip_data" and done[name]["status"] == "succeeded":
+            began = time.perf_counter()
             whole = integrate(clean, ws.table("weather").read(), ws.table("air_quality").read(), ws.table("taxi_zones").read())
             _, done["integrated_taxi_trips"] = load(ws, "integrated_taxi_trips", whole, ["surrogate_key"], partition_by=("year", "month"))
+            done["integrated_taxi_trips"]["wall_seconds"] = round(time.perf_counter() - began, 2)
     late = {m for m in observed if tuple(map(str, m)) in before}
     if late:
-        done["reenriched"] = {"months": sorted(late), "version": reenrich(ws, late)}
+        began = time.perf_counter()
+        done["reenriched"] = {"months": sorted(late), "version": reenrich(ws, late), "wall_seconds": round(time.perf_counter() - began, 2)}
     ws.ledger.flush()
     return done

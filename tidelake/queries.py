@@ -491,14 +491,10 @@ def feature_vectors(spark, d):
 def _scratch(spark: SparkSession, name: str):
     import uuid
 
-    from tidelake.session import checkpointed
+    from tidelake.session import shared_folder
     from tidelake.sources.table import Table
 
-    base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        checkpointed(spark.range(1))
-        base = spark.sparkContext.getCheckpointDir()
-    return Table(spark, f"{base}/{name}-{uuid.uuid4().hex}")
+    return Table(spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
 
 
 _YEARS = "year(o_orderdate)::INT"
