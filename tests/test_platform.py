@@ -358,3 +358,26 @@ def test_queries_match_oracle(spark):
         got = queries.QUERIES[name](spark, d)
         assert sorted(names) == sorted(got.columns), name
         assert sorted(map(str, want.fetchall())) == sorted(str(tuple(r[n] for n in names)) for r in got.collect()), name
+
+
+def test_time_trend_by_sql(spark, tmp_path):
+    """Against its SQL where moments are missing or prices aren't numbers; with moments in common, against the SQL ordered by
+    execution, too, for any order of the rows."""
+    import duckdb
+
+    from tidelake import queries
+
+    def trend(name, orders, sql):
+        data = spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, day string, o_orderpriority string")
+        data.withColumn("o_orderdate", F.to_timestamp_ntz("day")).drop("day").coalesce(1).write.parquet(f"{tmp_path}/{name}/orders.parquet")
+        con = duckdb.connect()
+        con.execute(f"create view orders as select * from read_parquet('{tmp_path}/{name}/orders.parquet/*.parquet')")
+        got = queries.QUERIES["ledger_processing_time_trend"](spark, f"{tmp_path}/{name}")
+        return [sorted(str(tuple(x)) for x in found) for found in (got.collect(), con.execute(sql).fetchall())]
+
+    sql = queries.SQL["ledger_processing_time_trend"]
+    odd = [(1, 7, "O", 10.5, None, "a"), (2, 8, "O", 20.5, "2024-01-02 00:00:00", "a"), (3, 9, "O", 40.5, "2024-01-03 00:00:00", "a"), (4, None, "O", None, "2024-01-04 00:00:00", "a"), (5, 3, "O", float("nan"), "2024-01-01 00:00:00", "b"), (6, 3, None, 1e300, "2024-01-01 00:00:00", None)]
+    alike = [(86400 * k + 5, k, "O", 1000.0 * k * k, "2024-01-01 00:00:00", "ab"[k % 2]) for k in range(9)]
+    for name, orders, text in (("odd", odd, sql), ("alike", alike, sql.replace("BY started_at", "BY started_at, execution_id")), ("turned", alike[::-1], sql.replace("BY started_at", "BY started_at, execution_id"))):
+        got, want = trend(name, orders, text)
+        assert got == want

@@ -141,14 +141,16 @@ def rejections_per_execution(runs: DataFrame) -> DataFrame:
 
 
 def processing_time_trend(runs: DataFrame, rows: int = 3) -> DataFrame:
-    """How the time has changed over executions; throughput, as batches differ in size."""
+    """How the time has changed over executions; throughput, as batches differ in size. Executions that started at the same
+    moment follow their ids, then the other columns, so that only rows alike in all of them may change places."""
     s = F.col("execution_time_seconds")
-    order = Window.partitionBy("dataset").orderBy("started_at")
+    moments = [F.col(c).asc_nulls_last() for c in ("started_at", "execution_id", "execution_time_seconds", "processed_records", "pipeline")]
+    order = Window.partitionBy("dataset").orderBy(*moments)
     out = runs.filter("status = 'succeeded'").select(
         "dataset", "started_at", "pipeline", "processed_records", "execution_time_seconds", F.round(s - F.lag(s).over(order), 2).alias("change_vs_previous"),
         F.round(F.avg(s).over(order.rowsBetween(1 - rows, 0)), 2).alias(f"moving_avg_{rows}"), F.round(safe_ratio(F.col("processed_records"), s)).alias("records_per_second"),
     )
-    return out.orderBy("dataset", "started_at")
+    return out.orderBy("dataset", F.col("started_at").asc_nulls_last())
 
 
 def schema_history(runs: DataFrame) -> DataFrame:

@@ -521,12 +521,13 @@ def time_travel_diff(spark, d):
 
 def _ledger(spark, d):
     """A ledger derived from orders: one execution each, so that its queries have an oracle."""
-    o, k = table(spark, d, "orders"), F.col("o_custkey")
+    o, k, price = table(spark, d, "orders"), F.col("o_custkey"), F.col("o_totalprice")
     return o.select(
         F.col("o_orderpriority").alias("dataset"), F.col("o_orderkey").cast("string").alias("execution_id"), F.when(F.col("o_orderstatus") == "F", "failed").when(F.col("o_orderstatus") == "P", "rejected").otherwise("succeeded").alias("status"),
-        # Distinct moments, so that no order is left to chance.
+        # Moments that repeat only where date and key's remainder do.
         (F.col("o_orderdate") + F.make_dt_interval(secs=F.col("o_orderkey") % 86400)).alias("started_at"), F.concat(F.lit("p"), (k % 2).cast("string")).alias("pipeline"),
-        F.floor("o_totalprice").cast("double").alias("execution_time_seconds"), (k % 5).cast("double").alias("validate_seconds"), (k % 3).cast("double").alias("write_seconds"),
+        # Spark's floor is a long, which holds neither NaN nor what lies beyond; doubles from 2**53 on are whole.
+        F.when(F.abs(price) < 2.0**53, F.floor(price).cast("double")).otherwise(price).alias("execution_time_seconds"), (k % 5).cast("double").alias("validate_seconds"), (k % 3).cast("double").alias("write_seconds"),
         (k * 100).alias("processed_records"), (k % 7).alias("rejected_records"), (k % 4).alias("quarantined_records"), (k % 7 - k % 4).alias("dropped_records"), (k % 2).alias("warning_records"), (k * 90).alias("inserted_records"),
         (k % 3).cast("int").alias("validation_failures"), (k % 3 + 1).cast("int").alias("schema_version"), F.concat(F.lit("c"), (F.col("o_orderkey") % 11).cast("string")).alias("schema_changes"), (F.col("o_orderkey") % 13).alias("target_version"),
         F.lit(None).cast("string").alias("error_message"),
