@@ -325,6 +325,42 @@ def test_licences_by_brute_force(spark, docs, tmp_path):
     assert got == pairs((i, a, o) for i, a, _, o in brute_scan(tree, license_scan.TEMPLATES, license_scan.LEAST))
 
 
+def all_licences(text, is_licence, weights, least):
+    """Every licence with a template that any window or the whole licence file reaches the threshold with, and the best cosine."""
+    lines = [x for x in text.split("\n") if re.search("[A-Za-z0-9]", x)]
+    found = {}
+    for unit in [" ".join(lines[i : i + n]) for n in (1, 2, 3) for i in range(len(lines))] + [text] * is_licence:
+        x = collections.Counter(re.findall("[a-z0-9]+", unit.lower()))
+        x = {t: n * weights.idf.get(t, weights.unknown) for t, n in x.items()}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        for name, v in weights.vectors if norm else ():
+            found[name] = max(found.get(name, 0), sum(x.get(t, 0) * w for t, w in v.items()) / norm)
+    return {name: round(c, 4) for name, c in found.items() if round(c, 6) >= least}
+
+
+def test_every_licence(spark):
+    """No licence that reaches the threshold is left out: not the second of a file or directory, nor a short licence's text on a
+    few lines of any file, nor a name next to a letter that no term has."""
+    mit, isc, bsd = (license_scan.TEMPLATES[k][-1] for k in ("MIT", "ISC", "BSD-3-Clause"))
+    one = lambda text: " ".join(text.split())
+    cut = lambda text, n: "\n".join(" ".join(text.split()[k : k + len(text.split()) // n + 1]) for k in range(0, len(text.split()), len(text.split()) // n + 1))
+    rows = [
+        (0, "a/LICENSE", "MIT License\n\ncode\n\nApache License 2.0\n"), (1, "a/b/x.py", "code"), (2, "two/LICENSE", "ISC License"), (3, "two/COPYING", "Apache License 2.0"), (4, "two/y.py", None),
+        (5, "m.py", one(mit)), (6, "m3.py", cut(mit, 3) + "\nint x;"), (7, "i.c", one(isc)), (8, "b.c", cut(bsd, 2)), (9, "s.md", "_MIT License_"), (10, "t.md", "\u00e9MIT License\u00e9"),
+        (11, "k.c", "SPDX_License_Identifier_Apache_2_0"), (12, "long.txt", "license " + "the " * 60_000), (13, "p.txt", "of the or and in any copyright"), (14, "g.c", "CC0 1.0 Universal\nGNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+        (15, "part.c", " ".join(mit.split()[:120])), (16, "less.c", " ".join(mit.split()[:40])),
+    ]
+    weights = license_scan.Weights(license_scan.TEMPLATES, license_scan.LEAST)
+    want = {i: all_licences(t or "", "LICENSE" in p or "COPYING" in p, weights, license_scan.LEAST) for i, p, t in rows}
+    want |= {1: want[0], 4: {**want[2], **want[3]}}
+    assert {"MIT", "Apache-2.0"} <= set(want[0]) and {"ISC", "Apache-2.0"} <= set(want[4]) and all(want[k] for k in (5, 6, 7, 8, 9, 10, 11, 15)) and not want[12]
+    got = license_scan.scan(spark.createDataFrame(rows, "file_id long, path string, text string")).collect()
+    assert {r.file_id: {x.licence: round(x.cosine, 4) for x in r.licences} for r in got} == want
+    for r in got:
+        assert r.licence is None or (r.licence, round(r.cosine, 4)) in {(x.licence, round(x.cosine, 4)) for x in r.licences}
+        assert r.licences == sorted(r.licences, key=lambda x: (-x.cosine, x.licence))
+
+
 def test_real_licences(spark):
     """Titles, identifier lines and texts as they stand in files."""
     mit = "Copyright (c) 2020 Some One\n\n" + license_scan.TEMPLATES["MIT"][-1]

@@ -10,11 +10,13 @@ By the same inequality a window's cosine is at most the share of its own length
 that share, by numbers of terms, leaves out windows of other prose, also without loss, before their terms are counted. The
 products are a join of the units' terms with the templates' terms, a table of fixed size that is broadcast.
 
-A file without a licence of its own takes that of the nearest directory above it which holds a licence file that names
-one. Directories are resolved first, over distinct directories, then joined to files by path: ancestors are as many as
+Each file comes with one ``licence``, the best, and with all ``licences`` that reach the threshold, with the best cosine of any
+unit and template of each. A file without one of its own takes that of the nearest directory above it which holds a licence
+file that names one; without any, all those of the nearest directory whose licence files have some. Directories are resolved first, over distinct directories, then joined to files by path: ancestors are as many as
 the path is deep, and no directory's files are gathered.
 
-Long licences (Apache, GPL, MPL and so on) are known by titles and notices, not by their whole texts.
+Long licences (Apache, GPL, MPL and so on) are known by titles and notices, not by their whole texts. For ``licence``, the
+texts of short ones count in licence files as a whole; ``licences`` has them from any file that holds one on up to ``WINDOW`` lines, too.
 
 Defined results: a null path or text is an empty one; a file at the top has the directory ``''``. Ties between licences
 go to the higher cosine, then the first name. Repeated rows stay; only the columns asked for are read. An empty table gives
@@ -26,10 +28,10 @@ from __future__ import annotations
 import math
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelake.llm.common import dropped, if_small, key_of, table, written
+from tidelake.llm.common import SMALL_SIDE, dropped, if_small, key_of, table, written
 
 LEAST = 0.8
 LICENCE_NAME = r"(?i)^(licen[sc]e|copying|unlicense)(\..*)?$"
@@ -82,8 +84,10 @@ TEMPLATES = {
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
     "Zlib": ("zlib License", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
 }
-#: Terms from which on a template is a whole text, which whole licence files are compared with, but no windows.
+#: Terms from which on a template is a whole text; for ``licence``, whole licence files are compared with it, but no windows.
 WHOLE = 60
+#: Cosines are rounded to six places, so what is below a threshold by less than this still reaches it.
+SLACK = 1e-6
 #: Words of any prose; they are the first that aren't distinctive.
 PROSE = frozenset("a an and any are as at be by for from in is it law may more of on or other so than that the their this to under use used was we will with work you".split())
 
@@ -92,6 +96,24 @@ def _terms(text: str) -> list[str]:
     return re.findall("[a-z0-9]+", text.lower())
 
 
+def any_of(terms: list[str]) -> str:
+    """A pattern that finds any of the terms in lower-case text, with terms as ``_terms`` cuts them. Shared beginnings are tried once."""
+    tree: dict = {}
+    for term in terms:
+        at = tree
+        for c in term + "\0":
+            at = at.setdefault(c, {})
+
+    def branches(at: dict) -> str:
+        found = [c + branches(below) for c, below in sorted(at.items()) if c != "\0"]
+        if not found:
+            return ""
+        inside = found[0] if len(found) == 1 and "\0" not in at else f"(?:{'|'.join(found)})"
+        return inside + "?" * ("\0" in at)
+
+    return f"(?<![a-z0-9]){branches(tree)}(?![a-z0-9])" if terms else "(?!)"
+
+
 class Weights:
     """Inverse document frequencies among templates, the templates' vectors, and the distinctive terms."""
 
@@ -112,26 +134,32 @@ class Weights:
             self.vectors.append((name, {t: v / norm for t, v in vector.items()}))
         # Short terms are words of any prose: as many of them as leave every template's part in them below the threshold.
         self.whole = [len(_terms(text)) >= WHOLE for _, text in texts]
-        notices = [x for (_, x), whole in zip(self.vectors, self.whole, strict=True) if not whole]
         plain: set[str] = set()
-        for term in sorted({t for x in notices for t in x}, key=lambda t: (t not in PROSE, len(t), t)):
+        for term in sorted(self.idf, key=lambda t: (t not in PROSE, len(t), t)):
             more = plain | {term}
-            if all(math.sqrt(sum(v * v for t, v in x.items() if t in more)) < least - 1e-9 for x in notices):
+            if all(math.sqrt(sum(v * v for t, v in x.items() if t in more)) < least - SLACK for _, x in self.vectors):
                 plain = more
-        self.distinctive = sorted({t for x in notices for t in x} - plain)
+        self.distinctive = sorted(self.idf.keys() - plain)
 
     def may_reach(self, least: float, unknown, known, distinct):
         """Whether a unit with so many words that no template has, words of templates, and different ones of these may reach
         ``least`` (as rounded): the squares of its counts sum up to at most (known - distinct + 1)**2 + distinct - 1 over
         templates' terms, and to ``unknown`` at least over the others, which weigh ``self.unknown`` each."""
-        square = (least - 1e-6) ** 2
+        square = (least - SLACK) ** 2
         cost = square / (1 - square) * (self.unknown / max(self.idf.values())) ** 2
         return unknown * cost <= (known - distinct + 1) * (known - distinct + 1) + distinct - 1
 
 
+def _ordered() -> Column:
+    """Rows (minus, name) of a group as one array: as many elements as there are licences at most."""
+    return F.sort_array(F.collect_list(F.struct("minus", "name")))
+
+
 def best(units: DataFrame, weights: Weights, least: float) -> DataFrame:
-    """(key, minus, name): the best cosine, negated, and its licence, of the units (key, u, unit) of each key that reach the
-    threshold; u is -1 for a whole file. Units of rows that are alike come several times, which changes no cosine."""
+    """(key, top, found) for each key of the units (key, u, unit) with any cosine that reaches the threshold: structs (minus,
+    name) of the best cosine, negated, and its licence. ``found`` has one for each licence, in their order; ``top`` is the best
+    without windows' cosines to whole texts, or null. u is -1 for a whole file. Units of rows that are alike come several times,
+    which changes no cosine."""
     spark = units.sparkSession
     idf = spark.createDataFrame(sorted(weights.idf.items()), "term string, idf double")
     # A row for each term of each template: a table of fixed size.
@@ -139,26 +167,30 @@ def best(units: DataFrame, weights: Weights, least: float) -> DataFrame:
     terms = units.select("key", "u", F.explode(F.regexp_extract_all(F.lower("unit"), F.lit("[a-z0-9]+"), F.lit(0))).alias("term")).groupBy("key", "u", "term").agg(F.count("*").cast("double").alias("n"))
     terms = written(terms)
     norms = terms.join(F.broadcast(idf), "term", "left").groupBy("key", "u").agg(F.sqrt(F.sum(F.pow(F.col("n") * F.coalesce("idf", F.lit(weights.unknown)), F.lit(2.0)))).alias("norm"))
-    dots = terms.join(F.broadcast(vectors), "term").filter(~F.col("whole") | (F.col("u") == -1)).groupBy("key", "u", "template", "name").agg(F.sum(F.col("n") * F.col("weight")).alias("dot"))
+    dots = terms.join(F.broadcast(vectors), "term").groupBy("key", "u", "template", "name", "whole").agg(F.sum(F.col("n") * F.col("weight")).alias("dot"))
     rated = dots.join(norms, ["key", "u"]).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6)).filter(F.col("cosine") >= least)
-    out = written(rated.groupBy("key").agg(F.min(F.struct((-F.col("cosine")).alias("minus"), F.col("name"))).alias("top")).select("key", "top.minus", "top.name"))
+    minus = -F.col("cosine")
+    each = rated.groupBy("key", "name").agg(F.min(minus).alias("minus"), F.min(F.when(~F.col("whole") | (F.col("u") == -1), minus)).alias("strict"))
+    top = F.min(F.when(F.col("strict").isNotNull(), F.struct(F.col("strict").alias("minus"), "name")))
+    out = written(each.groupBy("key").agg(top.alias("top"), _ordered().alias("found")))
     dropped(terms)
     return out
 
 
 def scan(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, least: float = LEAST) -> DataFrame:
-    """file_id, path, licence, cosine, origin (header, inherited or null) for each row of ``files`` (file_id, path, text)."""
+    """file_id, path, licence, cosine, origin (header, inherited or null), licences (all that reach the threshold, as an array of
+    (licence, cosine), the best first; empty if there is none) for each row of ``files`` (file_id, path, text)."""
     weights = Weights(templates, least)
-    pattern = rf"(?i)\b({'|'.join(weights.distinctive)})\b"
+    pattern = any_of(weights.distinctive)
     rows = files.select("file_id", F.coalesce(F.col("path").cast("string"), F.lit("")).alias("path"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.select(
         "file_id", "path", "text", key_of(F.col("file_id"), F.col("path"), F.col("text")).alias("key"),
         F.regexp_replace(F.regexp_extract("path", r"(?s)^(.*)/[^/]*$", 1), "/+$", "").alias("directory"),
         F.regexp_extract("path", "([^/]*)$", 1).rlike(LICENCE_NAME).alias("is_licence"),
     )
-    found = rows.filter(F.col("is_licence") | F.col("text").rlike(pattern)).select("key", "text", "is_licence", F.filter(F.split("text", "\n", -1), lambda line: line.rlike("[A-Za-z0-9]")).alias("lines"))
+    found = rows.filter(F.col("is_licence") | F.lower("text").rlike(pattern)).select("key", "text", "is_licence", F.filter(F.split("text", "\n", -1), lambda line: line.rlike("[A-Za-z0-9]")).alias("lines"))
     # A column is referred to twice in the next select, so that it isn't worked out anew for each line.
-    marked = found.select("*", F.transform("lines", lambda line: line.rlike(pattern)).alias("marks"))
+    marked = found.select("*", F.transform("lines", lambda line: F.lower(line).rlike(pattern)).alias("marks"))
     hits = F.filter(F.transform("marks", lambda hit, i: F.when(hit, i)), lambda i: i.isNotNull())
     near = lambda i: F.exists(F.slice("marks", F.greatest(i - WINDOW + 2, F.lit(1)), 2 * WINDOW - 1), lambda hit: hit)
     line_terms = F.transform("lines", lambda line, i: F.when(near(i), F.regexp_extract_all(F.lower(line), F.lit("[a-z0-9]+"), F.lit(0))))
@@ -168,16 +200,20 @@ def scan(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, le
     part = lambda column, i, shape: F.slice(column, i - shape["before"] + 1, shape["size"])
     known = lambda i, shape: F.flatten(F.transform(part("facts", i, shape), lambda x: x["known"]))
     total = lambda i, shape: F.aggregate(part("facts", i, shape), F.lit(0), lambda n, x: n + x["n"])
-    likely = lambda i, shape: weights.may_reach(least, total(i, shape) - F.size(known(i, shape)), F.size(known(i, shape)), F.size(F.array_distinct(known(i, shape))))
+    # As doubles, since the square of a count may be more than an integer holds.
+    count = lambda x: F.size(x).cast("double")
+    likely = lambda i, shape: weights.may_reach(least, total(i, shape) - count(known(i, shape)), count(known(i, shape)), count(F.array_distinct(known(i, shape))))
     window = lambda i, shape: F.when(i >= shape["before"], F.when(likely(i, shape), F.array_join(part("lines", i, shape), " ")))
     held = marked.select("key", "text", "is_licence", "lines", hits.alias("hits"), facts.alias("facts"))
     units = F.flatten(F.transform("hits", lambda i: F.transform(shapes, lambda shape: window(i, shape))))
     windows = held.select("key", F.posexplode(F.filter(F.array_distinct(units), lambda x: x.isNotNull())).alias("u", "unit"))
-    named = best(windows.unionAll(held.filter("is_licence").select("key", F.lit(-1), "text")), weights, least).toDF("own_key", "own_minus", "own_name")
-    side = if_small(named)
-    own = rows.drop("text").join(side, rows.key == named.own_key, "left")
+    named = best(windows.unionAll(held.filter("is_licence").select("key", F.lit(-1), "text")), weights, least).toDF("own_key", "own_top", "own")
+    # Arrays, mostly of one element, so fewer rows than of numbers are sent to all executors.
+    own = rows.drop("text").join(if_small(named, SMALL_SIDE // 4), rows.key == named.own_key, "left")
 
-    holders = own.filter("is_licence and own_name is not null").groupBy(F.col("directory").alias("held_by")).agg(F.min(F.struct(F.col("own_minus").alias("minus"), F.col("own_name").alias("name"))).alias("held"))
+    each = own.filter("is_licence").select(F.col("directory").alias("held_by"), "own_top", F.explode("own").alias("one"))
+    each = each.groupBy("held_by", "one.name").agg(F.min("one.minus").alias("minus"), F.min("own_top").alias("top"))
+    holders = each.groupBy("held_by").agg(F.min("top").alias("held_top"), _ordered().alias("held"))
     steps = F.split("directory", "/", -1)
     above = rows.select("directory").distinct().select(
         "directory", F.explode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(steps, 1, k), "/").alias("ancestor")))).alias("step")
@@ -185,13 +221,15 @@ def scan(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, le
     nearest = written(
         above.join(holders, above.step.ancestor == holders.held_by)
         .groupBy(F.col("directory").alias("of_directory"))
-        .agg(F.max_by("held", "step.depth").alias("held"))
+        .agg(F.max_by("held_top", F.when(F.col("held_top").isNotNull(), F.col("step.depth"))).alias("held_top"), F.max_by("held", "step.depth").alias("held"))
     )
-    return own.join(if_small(nearest), own.directory == nearest.of_directory, "left").select(
+    top, found = F.coalesce("own_top", "held_top"), F.coalesce("own", "held")
+    return own.join(if_small(nearest, SMALL_SIDE // 4), own.directory == nearest.of_directory, "left").select(
         "file_id", "path",
-        F.coalesce("own_name", "held.name").alias("licence"),
-        F.coalesce(-F.col("own_minus"), -F.col("held.minus")).alias("cosine"),
-        F.when(F.col("own_name").isNotNull(), F.lit("header")).when(F.col("held").isNotNull(), F.lit("inherited")).alias("origin"),
+        top["name"].alias("licence"),
+        (-top["minus"]).alias("cosine"),
+        F.when(F.col("own_top").isNotNull(), F.lit("header")).when(F.col("held_top").isNotNull(), F.lit("inherited")).alias("origin"),
+        F.coalesce(F.transform(found, lambda x: F.struct(x["name"].alias("licence"), (-x["minus"]).alias("cosine"))), F.array()).alias("licences"),
     )
 
 
@@ -210,4 +248,6 @@ def as_files(docs: DataFrame) -> DataFrame:
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(as_files(table(spark, sf_dir, "documents"))).withColumnRenamed("file_id", "doc_id")
+    found = scan(as_files(table(spark, sf_dir, "documents"))).withColumnRenamed("file_id", "doc_id")
+    named = F.transform("licences", lambda x: F.concat_ws(":", x["licence"], x["cosine"].cast("string")))
+    return found.withColumn("n_licences", F.size("licences").cast("long")).withColumn("licences", F.array_join(named, ","))
